@@ -63,7 +63,7 @@ def crc_mod(id_col: str, m: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m
 
 
-def join_by_class(rows: DataFrame, classes: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """``rows`` joined with ``classes`` (one row a key; ``count``: how many rows have the key) without skew.
 
     A class with over a thousandth of all rows is hot; there are under 1000 such classes whatever the input, so they are

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import packing, secrets, sharding, simhash
+from . import langid, packing, quality, secrets, sharding, simhash, substring, toxicity
 
-MODULES = (simhash, packing, sharding, secrets)
+MODULES = (simhash, packing, substring, langid, quality, sharding, toxicity, secrets)
 
 
 def queries() -> dict[str, Callable]:
