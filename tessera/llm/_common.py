@@ -58,6 +58,18 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[bytes], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text (null: empty) passes the test that ``make`` builds in each task. All columns stay; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            yield batch.filter(pa.array([test(t.as_py() or b"") for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id as text, modulo ``m``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, id_text
+from ._common import crc_mod, id_text, keep_rows
 
 BUCKETS = 1 << 15
 #: Profiles are fitted on about so many labelled documents, chosen by hash of the id.
@@ -134,6 +134,21 @@ def predict_language(docs: DataFrame, names: list[str], probs: np.ndarray, id_co
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known_language(docs: DataFrame, names: list[str], probs: np.ndarray, min_share: float = 0.35, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are ``und`` or in which no language has ``min_share``; all columns stay."""
+    model = docs.sparkSession.sparkContext.broadcast(probs)
+
+    def make():
+        p = model.value
+
+        def test(text: bytes) -> bool:
+            return bool(names) and LETTER.search(text.decode()) is not None and classify(text, p)[1] >= min_share
+
+        return test
+
+    return keep_rows(docs, text_col, make)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, probs = train_profiles(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import langid, packing, quality, secrets, sharding, simhash, substring, toxicity
+from . import decontaminate, langid, neighbours, packing, quality, secrets, sharding, simhash, substring, toxicity
 
-MODULES = (simhash, packing, substring, langid, quality, sharding, toxicity, secrets)
+MODULES = (simhash, packing, neighbours, substring, langid, quality, sharding, decontaminate, toxicity, secrets)
 
 
 def queries() -> dict[str, Callable]:

@@ -103,6 +103,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_by_class(rows, info, "fp", "n", total).select("doc_id", "fp", "n_near", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, the one with the least id (null last); all columns stay.
+
+    The rows are written with a number of their own first, so repeated and null ids are told apart.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = materialize(near_duplicates(rows, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")), "groups")
+    linked = found.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
+    ids = rows.select("__row", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("__id"))
+    # rows of groups of two and more; the hot ones among these are pre-aggregated by min
+    best = found.join(linked, "__group", "left_semi").join(ids, "__row").groupBy("__group").agg(F.min(F.struct("__id", "__row")).alias("b")).select(F.col("b.__row").alias("__row"))
+    keep = found.join(linked, "__group", "left_anti").select("__row").unionByName(best)
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
