@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,48 +28,77 @@ DOCS_PER_GROUP = 256
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids are remembered by a task; the memory starts anew when full.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 LONGEST_WORD_KEPT = 64
 
-_TOKENIZERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
+#: In these words NFC changes nothing and lower case is the same everywhere, so they can be parted here.
+PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*")
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-def tokenizer(vocabulary: str):
-    """The tokenizer of a vocabulary file of /opt/tokenizers (or a path); one a process."""
-    if vocabulary not in _TOKENIZERS:
-        import public_tokenizers as P
-        from tokenizers import Tokenizer
 
-        _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary if "/" in vocabulary else P.path(vocabulary))
-    return _TOKENIZERS[vocabulary]
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write for the bytes 0 to 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and no token crosses it, so a text's ids are those of its words, one after the other; words come again and again.
+    The vocabulary drops white space and no token crosses it, so a text's ids are those of its words, one after the other; words, and the parts that the vocabulary's own
+    pattern makes of them, come again and again and are remembered. Words that aren't plain go through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str):
-        self.tokenizer = tokenizer(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        import public_tokenizers as P
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else P.path(vocabulary))
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, p: str) -> bytes:
+        ids = self.parts.get(p)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize("".join([self.letters[b] for b in p.encode()]))], "<u4").tobytes()
+            if len(self.parts) >= WORDS_KEPT:
+                self.parts = {}
+            self.parts[p] = ids
+        return ids
+
+    def word(self, w: bytes) -> bytes:
+        s = w.decode()
+        if len(w) <= LONGEST_WORD_KEPT and "<|" not in s and PLAIN.fullmatch(s):
+            return b"".join([self.part(p) for p in PARTS.findall(s.lower())])
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
-        known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([self.words[w] for w in words])
         except KeyError:
             pass
-        new = list(set(words).difference(known))
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))}
-        if len(known) + len(got) > WORDS_KEPT:
-            self.known = {}
-        out = b"".join([got[w] if w in got else known[w] for w in words])
-        self.known.update((w, v) for w, v in got.items() if len(w) <= LONGEST_WORD_KEPT)
+        new = {w: self.word(w) for w in set(words).difference(self.words)}
+        known = self.words
+        out = b"".join([known[w] if w in known else new[w] for w in words])
+        if len(known) + len(new) > WORDS_KEPT:
+            self.words = known = {}
+        known.update((w, v) for w, v in new.items() if len(w) <= LONGEST_WORD_KEPT)
         return out
 
 
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a vocabulary file of /opt/tokenizers (or a path); one a process."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def cuts(n: int, sequence: int = SEQUENCE, cut: int = CUT) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, then near-equal pieces of at most ``cut``."""
     whole, rest = divmod(n, sequence)
@@ -99,7 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary)
+        enc = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []  # doc_id, start, length, crc, doc_tokens
