@@ -26,7 +26,7 @@ def lp_hinge(p: int) -> Callable[[Column], Column]:
 
 
 def log_lp_hinge(p: int) -> Callable[[Column], Column]:
-    return lambda x: -F.pow(F.greatest(1 - x, F.lit(0.0)), F.lit(float(p)))
+    return lambda x: 0 - F.pow(F.greatest(1 - x, F.lit(0.0)), F.lit(float(p)))  # not -0.0
 
 
 def plus(a: Column, b: Column) -> Column:

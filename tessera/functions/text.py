@@ -30,21 +30,26 @@ def tokens(text: Column | str, kind: str = WORD, max_length: int = 0) -> Column:
     return F.slice(t, 1, max_length) if max_length > 0 else t
 
 
+def _grams(t: Column, n: int) -> Column:
+    """Runs of exactly ``n`` tokens: each run of n - 1 with the token after it, so an array is walked n times and never searched."""
+    out = F.transform(t, lambda x: F.array(x))
+    for k in range(1, n):
+        fewer = F.greatest(F.size(t) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), fewer), F.slice(t, F.lit(k + 1), fewer), lambda g, x: F.concat(g, F.array(x)))
+    return out
+
+
 def ngrams(toks: Column | str, low: int, high: int) -> Column:
-    """Contiguous runs of ``low`` to ``high`` tokens, as arrays."""
+    """Contiguous runs of ``low`` to ``high`` tokens, as arrays. ``toks`` should be a column that is there already, or it is evaluated again and again."""
     t = F.col(toks) if isinstance(toks, str) else toks
-    parts = [F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i, n=n: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>")) for n in range(low, high + 1)]
+    parts = [_grams(t, n) for n in range(low, high + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def positioned_ngrams(toks: Column | str, low: int, high: int) -> Column:
     """As ``ngrams``, each with its place; places start at 0 for every length."""
     t = F.col(toks) if isinstance(toks, str) else toks
-    empty = F.array().cast("array<struct<g:array<string>,i:int>>")
-    parts = [
-        F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i, n=n: F.struct(F.slice(t, i, n).alias("g"), (i - 1).alias("i")))).otherwise(empty)
-        for n in range(low, high + 1)
-    ]
+    parts = [F.transform(_grams(t, n), lambda g, i: F.struct(g.alias("g"), i.alias("i"))) for n in range(low, high + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

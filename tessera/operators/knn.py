@@ -143,7 +143,7 @@ def graph_knn(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, e
     have = vectors.select(F.col("i").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v"))
     n = max(1, -(-have.count() // shard_rows))
     have = have.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    ask = ask.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    ask = ask.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

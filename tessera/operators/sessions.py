@@ -10,7 +10,7 @@ def sessions(log: DataFrame, gap_seconds: int, user: str = "user", ts: str = "ts
     """``log`` with ``session`` (from 0 for each user): a new one starts when the gap is over ``gap_seconds``; an equal gap stays."""
     order = [ts] + ([tie] if tie else [])
     w = Window.partitionBy(user).orderBy(*order)
-    secs = F.unix_micros(ts) / 1e6
+    secs = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     new = F.when(secs - F.lag(secs).over(w) > gap_seconds, 1).otherwise(0)
     return log.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
 

@@ -239,7 +239,7 @@ def _(t):
 
 
 for _norm, _size in (("l1", "SUM(abs(v)) OVER (PARTITION BY r)"), ("l2", "sqrt(SUM(v * v) OVER (PARTITION BY r))"), ("max", "MAX(abs(v)) OVER (PARTITION BY r)")):
-    query(f"normalize_{_norm}", f"WITH {SUPPLY} SELECT r, c, round(v / {_size}, 8) AS v FROM Q")(lambda t, n=_norm: rounded(matrix.normalize_rows(t.supply(), n), 8))
+    query(f"normalize_{_norm}", f"WITH {SUPPLY} SELECT r, c, round(v / {_size}, 11) AS v FROM Q")(lambda t, n=_norm: rounded(matrix.normalize_rows(t.supply(), n), 11))
 
 
 @query("softmax_rows", f"WITH {SUPPLY}, M AS (SELECT r, c, exp(v - MAX(v) OVER (PARTITION BY r)) AS e FROM Q) SELECT r, c, round(e / SUM(e) OVER (PARTITION BY r), 8) AS v FROM M")
@@ -380,7 +380,7 @@ def _post_sql(name: str) -> str:
         return f"-ln(1 + exp(-{_X}))"
     p = name[-7]
     h = f"power(greatest(1 - {_X}, 0), {p})"
-    return f"-{h}" if name.startswith("log") else f"exp(-{h})"
+    return f"0 - {h}" if name.startswith("log") else f"exp(-{h})"
 
 
 @query("score_transforms", "SELECT c_custkey AS id, " + ", ".join(f'round({_post_sql(n)}, 6) AS "{n}"' for n in S.PostProcessor.names()) + " FROM customer")
@@ -715,7 +715,7 @@ def _asked(t: Tables) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("vec"))
 
 
-@query("knn_ip", f"SELECT q, i, round(d, 6) AS dist, rank FROM ({_KNN('1 - ' + _IP)})")
+@query("knn_ip", f"SELECT q, i, round(d, 6) + 0.0 AS dist, rank FROM ({_KNN('1 - ' + _IP)})")
 def _(t):
     return ranked(rounded(knn.exact_knn(*_asked(t), 10), 6, "dist"))
 
@@ -725,7 +725,7 @@ def _(t):
     return ranked(rounded(knn.exact_knn(*_asked(t), 10, "l2"), 6, "dist"))
 
 
-@query("pairwise_knn", f"SELECT q, label::BIGINT AS label, i, round(d, 6) AS dist, rank FROM (SELECT a.vec_id AS q, b.vec_id AS i, b.label AS label, 1 - {_IP} AS d, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY 1 - {_IP}, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label = a.vec_id % 7 QUALIFY rank <= 5)")
+@query("pairwise_knn", f"SELECT q, label::BIGINT AS label, i, round(d, 6) + 0.0 AS dist, rank FROM (SELECT a.vec_id AS q, b.vec_id AS i, b.label AS label, 1 - {_IP} AS d, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY 1 - {_IP}, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label = a.vec_id % 7 QUALIFY rank <= 5)")
 def _(t):
     q, i = _asked(t)
     rows = t.embeddings.select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("i"))
@@ -833,10 +833,10 @@ def _(t):
     return _log(t).select("event_id", "user_id", "session")
 
 
-@query("session_bounds", f"WITH {_SESS} SELECT user_id, session, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last, count(*) AS n FROM S GROUP BY 1, 2")
+@query("session_bounds", f"WITH {_SESS} SELECT user_id, session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM S GROUP BY 1, 2")
 def _(t):
     b = sessions.session_bounds(_log(t), "user_id", "ts")
-    return b.select("user_id", "session", F.unix_micros(F.col("first").cast("timestamp")).alias("first"), F.unix_micros(F.col("last").cast("timestamp")).alias("last"), "n")
+    return b.select("user_id", "session", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "n")
 
 
 _DEDUP = f"{_SESS}, R AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS before FROM S), K AS (SELECT * FROM R WHERE before IS NULL OR before <> event_type), N AS (SELECT *, count(*) OVER (PARTITION BY user_id, session) AS n FROM K)"

@@ -17,14 +17,14 @@ PARAMS = tree.TreeParams(beam_size=3, only_topk=5, post_processor="sigmoid", bia
 def model(t: Tables, **params) -> tree.TreeModel:
     """Weight of feature f (bias: -1) at node n of layer l: ((7 f + 13 n + 5 l) mod 11 - 5) / 10."""
     c = t.tree()
-    feats = F.explode(F.array(*(F.lit(f) for f in range(-1, N_FEATS)))).cast("long").alias("feat")
+    feats = F.explode(F.array(*(F.lit(f).cast("long") for f in range(-1, N_FEATS)))).alias("feat")
     w = c.select("layer", feats, F.col("child").alias("label"))
     return tree.TreeModel(c, w.withColumn("w", (F.pmod(7 * F.col("feat") + 13 * F.col("label") + 5 * F.col("layer"), F.lit(11)) - 5) / 10), tree.TreeParams(**(PARAMS.__dict__ | params)))
 
 
 def features(t: Tables) -> DataFrame:
     """Suppliers by features: (s mod (f + 2)) / 4 where that isn't zero."""
-    x = t.supplier.select(F.col("s_suppkey").alias("r"), F.explode(F.array(*(F.lit(f) for f in range(N_FEATS)))).cast("long").alias("c"))
+    x = t.supplier.select(F.col("s_suppkey").alias("r"), F.explode(F.array(*(F.lit(f).cast("long") for f in range(N_FEATS)))).alias("c"))
     return x.withColumn("v", (F.col("r") % (F.col("c") + 2)) / 4).where("v <> 0")
 
 
@@ -68,7 +68,7 @@ _SEL = "S3 AS (SELECT DISTINCT s_suppkey AS r, c_custkey AS c FROM supplier JOIN
 
 @query(
     "tree_predict_selected",
-    f"WITH {_BASE}, {_SEL}, {_walk([None, None, None], keeps=[f'WHERE (P.r, t.child) IN (SELECT r, c FROM S{i})' for i in (1, 2, 3)])} SELECT r, c, round(v, 8) AS v FROM P3",
+    f"WITH {_BASE}, {_SEL}, {_walk([None, None, None], keeps=[f'WHERE (P.r, t.child) IN (SELECT r, c FROM S{i})' for i in (1, 2, 3)]).replace('FROM X)', 'FROM S1)', 1)} SELECT r, c, round(v, 8) AS v FROM P3",
 )
 def _(t):
     pairs = t.supplier.select(F.col("s_suppkey").alias("r")).join(t.customer.select(F.col("c_custkey").alias("c")), F.col("c") % 97 == F.col("r") % 97)

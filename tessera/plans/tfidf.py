@@ -39,7 +39,11 @@ def gram_counts(corpus: DataFrame, o: Options, id_col: str = "doc_id", text_col:
     if o.tokenizer == T.CHAR_IN_WORD:
         grams = T.word_ngrams_in_words(text_col, *o.ngram_range)
     else:
-        grams = T.ngrams(T.tokens(text_col, o.tokenizer, o.max_length), *o.ngram_range)
+        corpus = corpus.select(id_col, T.tokens(text_col, o.tokenizer, o.max_length).alias("toks"))
+        if o.ngram_range == (1, 1):
+            rows = corpus.select(F.col(id_col).cast("long").alias("r"), F.explode("toks").alias("g"))
+            return rows.groupBy("r", "g", F.lit(1).alias("len")).agg(F.count("*").alias("n"))
+        grams = T.ngrams("toks", *o.ngram_range)
     rows = corpus.select(F.col(id_col).cast("long").alias("r"), F.explode(grams).alias("a"))
     return rows.groupBy("r", F.array_join("a", SEP).alias("g"), F.size("a").alias("len")).agg(F.count("*").alias("n"))
 
@@ -117,8 +121,8 @@ def word_regex_tfidf(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def hashing(corpus: DataFrame, ngram_range: tuple[int, int] = (1, 2), n_features: int = 1 << 20, norm: str | None = "l2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(r, c, v): n-grams of lower-cased words, hashed into ``n_features`` columns; nothing is fitted."""
-    grams = F.transform(T.ngrams(T.sklearn_words(text_col), *ngram_range), lambda a: F.array_join(a, " "))
-    m = corpus.select(F.col(id_col).cast("long").alias("r"), F.explode(grams).alias("g")).groupBy("r", F.pmod(F.xxhash64("g"), F.lit(n_features)).alias("c")).agg(F.count("*").cast("double").alias("v"))
+    grams = F.transform(T.ngrams("toks", *ngram_range), lambda a: F.array_join(a, " "))
+    m = corpus.select(id_col, T.sklearn_words(text_col).alias("toks")).select(F.col(id_col).cast("long").alias("r"), F.explode(grams).alias("g")).groupBy("r", F.pmod(F.xxhash64("g"), F.lit(n_features)).alias("c")).agg(F.count("*").cast("double").alias("v"))
     return normalize_rows(m, norm) if norm else m
 
 
@@ -131,8 +135,8 @@ def query_prefix_features(df: DataFrame, query_model: Tfidf, prefix_model: Tfidf
 def position_weighted(corpus: DataFrame, model: Tfidf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """TF-IDF times position weights: an n-gram at place i (from 0 for each length) counts 1/(i + 1); l2 rows."""
     o = model.options
-    grams = F.explode(T.positioned_ngrams(T.tokens(text_col, o.tokenizer, o.max_length), *o.ngram_range))
-    at = corpus.select(F.col(id_col).cast("long").alias("r"), grams.alias("x")).groupBy("r", F.array_join("x.g", SEP).alias("g")).agg(F.sum(1 / (F.col("x.i") + 1)).alias("w"))
+    grams = F.explode(T.positioned_ngrams("toks", *o.ngram_range))
+    at = corpus.select(id_col, T.tokens(text_col, o.tokenizer, o.max_length).alias("toks")).select(F.col(id_col).cast("long").alias("r"), grams.alias("x")).groupBy("r", F.array_join("x.g", SEP).alias("g")).agg(F.sum(1 / (F.col("x.i") + 1)).alias("w"))
     at = at.join(model.features.select("g", "c"), "g").select("r", "c", "w")
     m = model.transform(corpus, id_col, text_col).join(at, ["r", "c"]).select("r", "c", (F.col("v") * F.col("w")).alias("v"))
     return normalize_rows(m)
