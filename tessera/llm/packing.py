@@ -1,7 +1,8 @@
 """Operator 2, packing: token sequences of near-equal fill by Karmarkar-Karp multiway differencing.
 
 Whole sequences are cut off each document first; what remains (under one sequence) is cut into up to ``sequence / cut`` pieces, and the pieces of
-``docs_per_group`` documents are differenced into the least number of windows that can hold them, one more whenever the capacity is exceeded.
+``docs_per_group`` documents are differenced into the least number of windows that can hold them: the count rises whenever the total exceeds the capacity. The few ids that a
+window then has too many are cut off and fill the room in others, so a group's padding is under one sequence.
 A task packs what it reads, so nothing is shuffled, and a sequence never spans two tasks.
 
 Defined results: a null text counts as empty and holds the closing id alone; equal rows are packed each; an empty table gives no piece; an
@@ -112,14 +113,34 @@ def cuts(n: int, sequence: int = SEQUENCE, cut: int = CUT) -> list[tuple[int, in
     return out
 
 
-def windows(sizes: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, int]:
-    """Window of each piece, and the number of windows: the least count from the ceiling on whose differencing stays within capacity."""
+def windows(sizes: np.ndarray, sequence: int = SEQUENCE) -> tuple[list[tuple[int, int, int, int]], int]:
+    """(piece, start in it, length, window) and the number of windows, the least that can hold the pieces.
+
+    Differencing gives near-equal windows. What one has over its capacity is cut off its last pieces and fills the room that others have.
+    """
     k = max(1, -(-int(sizes.sum()) // sequence))
-    while True:
-        part, sums = kk_partition(sizes, k)
-        if sums[0] <= sequence:
-            return part, k
-        k += 1
+    part, _ = kk_partition(sizes, k)
+    out: list[tuple[int, int, int, int]] = []
+    over: list[tuple[int, int, int]] = []
+    room = [sequence] * k
+    for i in np.argsort(part, kind="stable").tolist():
+        w, n = int(part[i]), int(sizes[i])
+        fits = min(n, room[w])
+        if fits:
+            out.append((i, 0, fits, w))
+            room[w] -= fits
+        if fits < n:
+            over.append((i, fits, n - fits))
+    w = 0
+    for i, at, n in over:
+        while n:
+            while not room[w]:
+                w += 1
+            fits = min(n, room[w])
+            out.append((i, at, fits, w))
+            room[w] -= fits
+            at, n = at + fits, n - fits
+    return out, k
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -132,44 +153,45 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         enc = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 36
-        rows: list[tuple] = []  # doc_id, start, length, crc, doc_tokens
-        docs_in = 0
+        group: list[tuple[int | None, bytes]] = []  # documents and their ids
 
         def flush() -> pa.RecordBatch:
-            nonlocal rows, docs_in, next_id
-            a = np.array([r[1:] for r in rows], np.int64).reshape(-1, 4)
-            length = a[:, 1]
-            seq = np.empty(len(rows), np.int64)
-            offset = np.zeros(len(rows), np.int64)
-            full = length == sequence
-            seq[full] = next_id + np.arange(int(full.sum()))
-            next_id += int(full.sum())
-            rest = np.flatnonzero(~full)
-            if len(rest):
-                part, k = windows(length[rest], sequence)
-                order = rest[np.argsort(part, kind="stable")]
-                part = np.sort(part, kind="stable")
-                before = np.cumsum(length[order]) - length[order]
-                first = np.r_[True, part[1:] != part[:-1]]
-                offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-                seq[order] = next_id + np.cumsum(first) - 1  # no id for an empty window
-                next_id += int(first.sum())
+            nonlocal next_id
+            rows: list[tuple[int, int, int, int, int]] = []  # document, start, length, sequence, offset
+            rest: list[tuple[int, int, int]] = []
+            for d, (_, ids) in enumerate(group):
+                for start, length in cuts(len(ids) // 4, sequence, cut):
+                    if length == sequence:
+                        rows.append((d, start, length, next_id, 0))
+                        next_id += 1
+                    else:
+                        rest.append((d, start, length))
+            if rest:
+                placed, k = windows(np.array([r[2] for r in rest], np.int64), sequence)
+                filled = [0] * k
+                for i, at, length, w in placed:
+                    d, start, _ = rest[i]
+                    rows.append((d, start + at, length, next_id + w, filled[w]))
+                    filled[w] += length
+                next_id += k
+            crc = [zlib.crc32(group[d][1][4 * s : 4 * (s + m)]) for d, s, m, _, _ in rows]
+            a = np.array(rows, np.int64).reshape(-1, 5)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *(pa.array(a[:, j]) for j in range(4)), pa.array(seq), pa.array(offset)],
+                [
+                    pa.array([group[r[0]][0] for r in rows], pa.int64()), pa.array(a[:, 1].copy()), pa.array(a[:, 2].copy()), pa.array(crc, pa.int64()),
+                    pa.array([len(group[r[0]][1]) // 4 for r in rows], pa.int64()), pa.array(a[:, 3].copy()), pa.array(a[:, 4].copy()),
+                ],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-            rows, docs_in = [], 0
+            )
+            group.clear()
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text or b"") + end
-                n = len(ids) // 4
-                rows += [(doc_id, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n) for s, m in cuts(n, sequence, cut)]
-                docs_in += 1
-                if docs_in >= docs_per_group:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                group.append((doc_id, enc.encode(text.as_py() or b"") + end))
+                if len(group) >= docs_per_group:
                     yield flush()
-        if rows:
+        if group:
             yield flush()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -20,6 +20,8 @@ from ._kk import kk_partition, kk_states
 
 GROUPS_PER_BUCKET = 20_000
 ROWS_PER_BLOCK = 20_000
+#: About so many groups, chosen by hash, are kept back from the buckets and level the whole at the end, where there is more than one bucket.
+RESERVE = 5000
 #: The second level handles so many partial partitions at once.
 FAN_IN = 4096
 
@@ -47,15 +49,23 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_co
     )
     total = rows.count()
     n_buckets = max(1, -(-total // GROUPS_PER_BUCKET))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int"))
+    spare = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, total // RESERVE))) == 0 if n_buckets > 1 else F.lit(False)
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).withColumn("bucket", F.when(~spare, F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int")))
+    groups = materialize(groups, "shard-groups")
+    reserve = groups.where("bucket is null")
     parts = materialize(
-        groups.groupBy("bucket").applyInPandas(_bucket_partition(n_shards), "key binary, rows long, bucket int, bytes long, part int"),
+        groups.where("bucket is not null").groupBy("bucket").applyInPandas(_bucket_partition(n_shards), "key binary, rows long, bucket int, bytes long, part int"),
         "shard-parts",
     )
     # the buckets' partial partitions: n_shards numbers for 20,000 groups
     sums = parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
-    placed = _combine(sums, n_shards)
-    classes = parts.join(placed, ["bucket", "part"]).select("key", "rows", "shard")
+    placed = materialize(_combine(sums, n_shards), "shard-slots")
+    last = placed.groupBy("slot").agg(F.sum("bytes").alias("bytes")).select(F.lit(None).cast("binary").alias("key"), "slot", "bytes")
+    last = last.unionByName(reserve.select("key", F.lit(None).cast("int").alias("slot"), "bytes"))
+    last = materialize(last.groupBy((F.col("bytes") * 0).alias("all")).applyInPandas(_level_with_reserve(n_shards), "key binary, slot int, shard int"), "shard-last")
+    placed = placed.join(F.broadcast(last.where("slot is not null").select("slot", "shard")), "slot")  # n_shards rows
+    classes = parts.join(placed.select("bucket", "part", "shard"), ["bucket", "part"]).select("key", "rows", "shard")
+    classes = classes.unionByName(reserve.select("key", "rows").join(last.where("key is not null").select("key", "shard"), "key").select("key", "rows", "shard"))
     put = join_by_class(rows, classes, "key", "rows", total).select("doc_id", "size", "text_crc32", "shard")
     n_blocks = max(1, -(-total // ROWS_PER_BLOCK))
     put = materialize(put.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_blocks)).cast("int")), "shard-put")
@@ -64,8 +74,23 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_co
     )
 
 
+def _level_with_reserve(n_shards: int):
+    """One differencing over the buckets' merged partition (rows with a slot) and the reserve (rows with a key)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf[pdf["slot"].notna()]
+        spare = pdf[pdf["slot"].isna()].sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
+        sums = np.zeros(n_shards, np.int64)
+        sums[whole["slot"].astype(int)] = whole["bytes"]
+        _, slots = kk_states([sums, *(np.array([b]) for b in spare["bytes"])], n_shards)
+        shard = [int(slots[0][s]) for s in whole["slot"].astype(int)] + [int(s[0]) for s in slots[1:]]
+        return pd.DataFrame({"key": [None] * len(whole) + list(spare["key"]), "slot": pd.array([*whole["slot"].astype(int), *[None] * len(spare)], dtype="Int32"), "shard": np.array(shard, np.int32)})
+
+    return run
+
+
 def _combine(sums: DataFrame, n_shards: int) -> DataFrame:
-    """(bucket, part, shard): differencing over the buckets' partial partitions, ``FAN_IN`` of them to a task, level by level."""
+    """(bucket, part, bytes, slot): differencing over the buckets' partial partitions, ``FAN_IN`` of them to a task, level by level."""
     level = sums.select(F.col("bucket"), F.col("part"), "bytes", F.col("bucket").alias("node"), F.col("part").alias("slot"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +109,7 @@ def _combine(sums: DataFrame, n_shards: int) -> DataFrame:
         top //= FAN_IN
         if top == 0:
             break
-    return level.select("bucket", "part", F.col("slot").alias("shard"))
+    return level.select("bucket", "part", "bytes", "slot")
 
 
 def _slots(put: DataFrame) -> DataFrame:
