@@ -2,7 +2,7 @@
 
 Passages are windows of words, weighted by TF-IDF over the benchmark's vocabulary; document frequencies cover all documents. A randomised SVD (a Gaussian test matrix,
 products with the passage matrix summed over tasks, an orthonormal basis of the result) gives the latent space. Every passage of every document is compared with
-every item there; a passage over the cosine threshold is a candidate, which counts as contaminated if the longest common subsequence of words covers enough of the item,
+every item there, unless too little of it is in the benchmark's words; a passage over the cosine threshold is a candidate, which counts as contaminated if the longest common subsequence of words covers enough of the item,
 or somewhat less of it together with the item's answer (its rarest words).
 
 The benchmark is read in blocks of ``ITEMS_PER_BLOCK`` items, so what a task holds is bounded whatever its size.
@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from ._common import id_text, keep_rows
 
-ITEMS_PER_BLOCK = 4000
+ITEMS_PER_BLOCK = 1000
 PASSAGE = 32
 STRIDE = 8
-RANK = 64
+#: Dimensions of the latent space beyond one for each item of the block; fewer than the items and rare words, which tell items apart, would drown in frequent ones.
+EXTRA_RANK = 32
 #: The latent basis is fitted on about so many documents, chosen by hash of the id, and all items.
 MAX_FIT_DOCS = 4000
-MIN_COSINE = 0.4
+#: Weight of an item's row against a passage's in the fit.
+ITEM_WEIGHT = 1000.0
+MIN_COSINE = 0.35
 MIN_COVER = 0.8
 MIN_COVER_WITH_ANSWER = 0.5
 ANSWER_WORDS = 5
@@ -67,9 +70,10 @@ def passage_starts(n: int, passage: int = PASSAGE, stride: int = STRIDE) -> np.n
 class Latent:
     """A block of items and its latent space; small, and sent to every task."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], idf: np.ndarray, basis: np.ndarray, rarest: float):
         self.vocab, self.idf = vocab, idf
         self.word = (idf[:, None] * basis).astype(np.float32)  # latent vector of one occurrence
+        self.squares = np.append(idf, rarest) ** 2  # the last: a word outside the vocabulary (-1)
         self.ids = [i for i, _ in items]
         self.items = [[vocab[w] for w in ws] for _, ws in items]
         z = np.array([self.word[ws].sum(0) for ws in self.items], np.float32)
@@ -84,20 +88,24 @@ class Latent:
         if n == 0:
             return []
         at = np.array(words)
-        known = np.flatnonzero(at >= 0)
-        if len(known) == 0:
-            return []
-        total = np.zeros((len(known) + 1, self.word.shape[1]), np.float32)
-        np.cumsum(self.word[at[known]], axis=0, out=total[1:])
         starts = passage_starts(n)
-        z = total[np.searchsorted(known, np.minimum(starts + PASSAGE, n))] - total[np.searchsorted(known, starts)]
-        norm = np.linalg.norm(z, axis=1)
-        cos = (z @ self.z.T) / np.maximum(norm, 1e-6)[:, None]
+        ends = np.minimum(starts + PASSAGE, n)
+        # a passage's length counts all its words; one that the benchmark lacks is as rare as can be
+        size, known = np.zeros(n + 1), np.zeros(n + 1)
+        np.cumsum(self.squares[at], out=size[1:])
+        np.cumsum(np.where(at >= 0, self.squares[at], 0), out=known[1:])
+        norm2 = size[ends] - size[starts]
+        may = np.flatnonzero(known[ends] - known[starts] >= MIN_COSINE**2 * norm2)  # the benchmark's words carry enough of the passage
+        if len(may) == 0:
+            return []
+        z = np.array([self.word[(w := at[s:e])[w >= 0]].sum(0) for s, e in zip(starts[may], ends[may])])
+        cos = (z @ self.z.T) / np.sqrt(np.maximum(norm2[may], 1e-9))[:, None]
         best: dict[int, tuple[float, float, float]] = {}
         for p, i in np.argwhere(cos >= MIN_COSINE).tolist():
             item = self.items[i]
             pad = max(PASSAGE, len(item))
-            region = words[max(0, int(starts[p]) - pad) : int(starts[p]) + PASSAGE + pad]
+            at_p = int(starts[may[p]])
+            region = words[max(0, at_p - pad) : at_p + PASSAGE + pad]
             cover = common_subsequence(item, region) / len(item)
             answer = len(self.answers[i].intersection(region)) / len(self.answers[i])
             if cover >= MIN_COVER or cover >= MIN_COVER_WITH_ANSWER and answer >= MIN_ANSWER:
@@ -134,7 +142,7 @@ def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[byt
     sent = docs.sparkSession.sparkContext.broadcast((vocab, idf, test.astype(np.float32)))
     width = test.shape[1]
 
-    def product(rows: list[list[int]], weight: np.ndarray, t: np.ndarray, out: np.ndarray) -> None:
+    def product(rows: list[list[int]], weight: np.ndarray, t: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
         for ws in rows:
             if not ws:
                 continue
@@ -142,7 +150,7 @@ def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[byt
             v = n * weight[w]
             norm2 = float((v * v).sum())
             if norm2 > 0:
-                out[w] += v[:, None] * ((v @ t[w]) / norm2)[None, :]
+                out[w] += v[:, None] * (scale * (v @ t[w]) / norm2)[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weight, t = sent.value
@@ -160,12 +168,12 @@ def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[byt
     got = part.repartition(8).mapInArrow(run, "w int, y array<double>").toArrow()  # 8 rows a word
     if got.num_rows:
         np.add.at(y, got.column("w").to_numpy(), np.array(got.column("y").combine_chunks().flatten()).reshape(-1, width))
-    product(items, idf, test, y)
+    product(items, idf, test, y, ITEM_WEIGHT)
     u, _, _ = np.linalg.svd(y, full_matrices=False)
     return u[:, :k]
 
 
-def latent_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> Iterator[Latent]:
+def latent_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra_rank: int = EXTRA_RANK) -> Iterator[Latent]:
     """The benchmark's blocks with their latent spaces, one at a time."""
     source = id_text(docs, id_col, text_col)
     bench = id_text(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")
@@ -179,18 +187,18 @@ def latent_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         n_docs, df = _document_frequency(source, vocab)
         idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
-        yield Latent(items, vocab, idf, _basis(source, n_docs, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, rank))
+        yield Latent(items, vocab, idf, _basis(source, n_docs, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, len(items) + extra_rank), float(np.log(1 + n_docs)))
 
 
 FOUND = "doc_id long, item_id long, cosine double, cover double, answer double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra_rank: int = EXTRA_RANK) -> DataFrame:
     """(doc_id, item_id, cosine, cover, answer): the items that each document gives away."""
     source = id_text(docs, id_col, text_col)
     spark = docs.sparkSession
     out = spark.createDataFrame([], FOUND)
-    for block in latent_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, rank):
+    for block in latent_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, extra_rank):
         model = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
@@ -204,10 +212,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra_rank: int = EXTRA_RANK) -> DataFrame:
     """``docs`` without the rows that give away an item; all columns stay."""
     out = docs
-    for block in latent_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, rank):
+    for block in latent_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, extra_rank):
         model = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(model=model):
