@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import dot
 from ..scratch import settle
 from .matrix import add, matmul, topk_rows, transpose
 
@@ -182,7 +183,11 @@ def balanced_kmeans(
 
     for layer in range(depth):
         rate = sample_rate(layer, depth, min_sample_rate, max_sample_rate, warmup_ratio)
-        state = settle(cut(state, F.rand(seed + layer)), "kmeans")
+        # two elements to begin with: one by seeded hash, and the one least like it
+        a = state.groupBy("node").agg(F.min_by("vec", F.struct(F.xxhash64("id", F.lit(seed + layer)), "id")).alias("a"))
+        b = state.join(a, "node").groupBy("node").agg(F.min_by("vec", F.struct(dot("vec", "a"), "id")).alias("b"))
+        begun = state.join(a, "node").join(b, "node")
+        state = settle(cut(begun, dot("vec", F.zip_with("b", "a", lambda x, y: x - y))).select("id", "vec", "node", "side"), "kmeans")
         for _ in range(max_iter):
             fitted = state if rate >= 1 else state.where(F.pmod(F.xxhash64("id", F.lit(seed + layer)), F.lit(1 << 20)) < int(rate * (1 << 20)))
             sums = fitted.groupBy("node", "side").agg(F.array(*(F.sum(F.col("vec")[i]) for i in range(dim))).alias("s"), F.count("*").alias("k"))
