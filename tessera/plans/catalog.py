@@ -383,7 +383,7 @@ def _post_sql(name: str) -> str:
     return f"0 - {h}" if name.startswith("log") else f"exp(-{h})"
 
 
-@query("score_transforms", "SELECT c_custkey AS id, " + ", ".join(f'round({_post_sql(n)}, 6) AS "{n}"' for n in S.PostProcessor.names()) + " FROM customer")
+@query("score_transforms", "SELECT c_custkey AS id, " + ", ".join(f'round({_post_sql(n)}, 6) + 0.0 AS "{n}"' for n in S.PostProcessor.names()) + " FROM customer")
 def _(t):
     x = F.col("c_acctbal") / 1000
     return t.customer.select(F.col("c_custkey").alias("id"), *(F.round(S.PostProcessor.get(n).transform(x), 6).alias(n) for n in S.PostProcessor.names()))

@@ -15,11 +15,11 @@ PARAMS = tree.TreeParams(beam_size=3, only_topk=5, post_processor="sigmoid", bia
 
 
 def model(t: Tables, **params) -> tree.TreeModel:
-    """Weight of feature f (bias: -1) at node n of layer l: ((7 f + 13 n + 5 l) mod 11 - 5) / 10."""
+    """Weight of feature f (bias: -1) at node n of layer l: ((7 f + 13 n + 5 l) mod 11 - 5) / 10; the bias has n / 100000 more, so no two nodes tie."""
     c = t.tree()
     feats = F.explode(F.array(*(F.lit(f).cast("long") for f in range(-1, N_FEATS)))).alias("feat")
     w = c.select("layer", feats, F.col("child").alias("label"))
-    return tree.TreeModel(c, w.withColumn("w", (F.pmod(7 * F.col("feat") + 13 * F.col("label") + 5 * F.col("layer"), F.lit(11)) - 5) / 10), tree.TreeParams(**(PARAMS.__dict__ | params)))
+    return tree.TreeModel(c, w.withColumn("w", (F.pmod(7 * F.col("feat") + 13 * F.col("label") + 5 * F.col("layer"), F.lit(11)) - 5) / 10 + F.when(F.col("feat") == -1, F.col("label") / 100000).otherwise(0.0)), tree.TreeParams(**(PARAMS.__dict__ | params)))
 
 
 def features(t: Tables) -> DataFrame:
@@ -29,7 +29,7 @@ def features(t: Tables) -> DataFrame:
 
 
 _BASE = f"""T AS (SELECT 0 AS layer, r_regionkey::BIGINT AS child, 0::BIGINT AS parent FROM region UNION ALL SELECT 1, n_nationkey::BIGINT, n_regionkey::BIGINT FROM nation UNION ALL SELECT 2, c_custkey, c_nationkey::BIGINT FROM customer),
-W AS (SELECT layer, f::BIGINT AS feat, child AS label, ((((7 * f + 13 * child + 5 * layer) % 11) + 11) % 11 - 5) / 10.0::DOUBLE AS w FROM T, (SELECT UNNEST(range(-1, {N_FEATS})) AS f)),
+W AS (SELECT layer, f::BIGINT AS feat, child AS label, ((((7 * f + 13 * child + 5 * layer) % 11) + 11) % 11 - 5) / 10.0::DOUBLE + CASE WHEN f = -1 THEN child / 100000.0::DOUBLE ELSE 0 END AS w FROM T, (SELECT UNNEST(range(-1, {N_FEATS})) AS f)),
 X AS (SELECT * FROM (SELECT s_suppkey AS r, f::BIGINT AS c, (s_suppkey % (f + 2)) / 4.0::DOUBLE AS v FROM supplier, (SELECT UNNEST(range({N_FEATS})) AS f)) WHERE v <> 0)"""
 
 
