@@ -22,13 +22,11 @@ from ._common import id_text
 from ._labelled import labelled_sample
 
 #: The regression is fitted on about so many documents of each label (twice as many at most).
-MAX_TRAIN_PER_LABEL = 6000
+MAX_TRAIN_PER_LABEL = 4000
 BUCKETS = 1 << 20
 N_SELECTED = 4000
 GRADES = 3
 WORDS_KEPT = 400_000
-#: P(grade > 0) from which a document counts as toxic.
-CUTOFF = 0.2
 
 #: Anything but letters parts words.
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).lower()
@@ -53,10 +51,10 @@ def sigmoid(x):
 
 
 class Model:
-    """weights: of the selected features, by hash; thresholds: ascending."""
+    """weights: of the selected features, by hash; thresholds: ascending; cutoff: the score w.x from which a document counts as toxic."""
 
-    def __init__(self, weights: dict[int, float], thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: dict[int, float], thresholds: np.ndarray, cutoff: float):
+        self.weights, self.thresholds, self.cutoff = weights, thresholds, cutoff
         self.known: dict[bytes, float] = {}
 
     def word(self, w: bytes) -> float:
@@ -82,16 +80,35 @@ class Model:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray | None, toxic: np.ndarray, n_selected: int = N_SELECTED, rounds: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> Model:
-    """``rows``: feature hashes of each document; ``grades`` (0 up) or, where None, made from ``toxic`` (0/1)."""
+def best_cutoff(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the widest gap between scores among those that part toxic rows from others with the fewest errors."""
+    order = np.argsort(scores, kind="stable")
+    s, y = scores[order], toxic[order]
+    gain = np.cumsum(1 - 2 * y)[:-1]  # others under the cut, less toxic rows under it
+    gap = np.diff(s)
+    gain = np.where(gap > 0, gain, -np.inf)
+    if not len(gain) or not np.isfinite(gain.max()):
+        return 0.0
+    at = np.flatnonzero(gain == gain.max())
+    i = at[gap[at].argmax()]
+    return float((s[i] + s[i + 1]) / 2)
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray | None, toxic: np.ndarray, n_selected: int = N_SELECTED, rounds: int = 500, rate: float = 0.1, ridge: float = 2e-4) -> Model:
+    """``rows``: feature hashes of each document, a hash as often as distinct words have it; ``grades`` (0 up) or, where None, made from ``toxic`` (0/1)."""
     size = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     feat = np.concatenate(rows)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    df1 = np.bincount(feat, weights=toxic[doc], minlength=BUCKETS)
-    df0 = np.bincount(feat, weights=1 - toxic[doc], minlength=BUCKETS)
+    once = [np.unique(r) for r in rows]
+    own, seen = np.repeat(toxic, [len(r) for r in once]), np.concatenate(once)
+    df1 = np.bincount(seen, weights=own, minlength=BUCKETS)
+    df0 = np.bincount(seen, weights=1 - own, minlength=BUCKETS)
     p1, p0 = (df1 + 0.5) / (n1 + 1), (df0 + 0.5) / (n0 + 1)
-    z = (p1 - p0) / np.sqrt(p1 / n1 + p0 / n0)
+    # signed root of the likelihood ratio, which holds for rare features too
+    share = (df1 + df0) / (n1 + n0)
+    part = lambda o, n: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(n * share, 1e-9)), 0) + np.where(n > o, (n - o) * np.log(np.maximum(n - o, 1e-9) / np.maximum(n * (1 - share), 1e-9)), 0)
+    z = np.sign(p1 - p0) * np.sqrt(np.maximum(0, 2 * (part(df1, n1) + part(df0, n0))))
     z[df1 + df0 < 3] = 0
     pick = np.sort(np.argsort(-np.abs(z), kind="stable")[:n_selected])
     pick = pick[np.abs(z[pick]) > 2.5]
@@ -116,13 +133,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray | None, toxic: np.ndarray, n_
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         w, t = w + step[: len(w)], np.maximum.accumulate(t + step[len(w) :])
-    return Model({int(f): float(x) for f, x in zip(pick, w) if x}, t)
+    scores = np.bincount(doc, weights=w[col], minlength=len(rows))
+    return Model({int(f): float(x) for f, x in zip(pick, w) if x}, t, best_cutoff(scores, toxic))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None, max_per_label: int = MAX_TRAIN_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.array(sorted({f for w in words_of(t.as_py() or b"") for f in features_of(w)}), np.int32).tobytes() for t in batch.column(0)]
+            x = [np.array(sorted(f for w in words_of(t.as_py() or b"") for f in features_of(w)), np.int32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "label"])
 
     got = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, max_per_label, id_col, text_col).mapInArrow(run, "x binary, label int").toArrow()
@@ -134,24 +152,25 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, max_per_label: int =
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, severity, p_toxic, grade): expected severity, P(grade > 0), and the number of thresholds more likely passed than not."""
-    state = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds) if model else ({}, np.array([35.0])))
+    """(doc_id, severity, p_toxic, grade, toxic): expected severity, P(grade > 0), the number of thresholds more likely passed than not, and 1 from the model's cutoff on."""
+    state = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.cutoff) if model else ({}, np.array([35.0]), np.inf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*state.value)
         for batch in batches:
-            p = own.exceed(np.array([own.score(t.as_py() or b"") for t in batch.column(1)], float))
+            scores = np.array([own.score(t.as_py() or b"") for t in batch.column(1)], float)
+            p = own.exceed(scores)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0].copy()), pa.array((p >= 0.5).sum(1).astype(np.int32))], names=["doc_id", "severity", "p_toxic", "grade"]
+                [batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0].copy()), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array((scores >= own.cutoff).astype(np.int32))],
+                names=["doc_id", "severity", "p_toxic", "grade", "toxic"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.withColumn("toxic", (F.col("p_toxic") >= CUTOFF).cast("int"))
+    return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}
