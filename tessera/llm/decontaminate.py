@@ -1,9 +1,10 @@
 """Operator 8, benchmark decontamination: latent semantic retrieval, then checks of words in order and of answers.
 
 Passages are windows of words, weighted by TF-IDF over the benchmark's vocabulary; document frequencies cover all documents. A randomised SVD (a Gaussian test matrix,
-products with the passage matrix summed over tasks, an orthonormal basis of the result) gives the latent space. Every passage of every document is compared with
-every item there, unless too little of it is in the benchmark's words; a passage over the cosine threshold is a candidate, which counts as contaminated if the longest common subsequence of words covers enough of the item,
-or somewhat less of it together with the item's answer (its rarest words).
+products with the passage matrix summed over tasks, an orthonormal basis of the result) gives the latent space, in which found passages are scored: the cosine is reported and
+decides nothing. A passage is a candidate for an item if the region around it has enough of the item's rarest words for the checks to be passed; no region that passes
+them is passed over, whatever words weigh and whatever else the passage holds. It counts as contaminated if the longest common subsequence of words covers enough of
+the item, or somewhat less of it together with the item's answer (its rarest words); so an item of one or two words is given away by any text that has them.
 
 The benchmark is read in blocks of ``ITEMS_PER_BLOCK`` items, so what a task holds is bounded whatever its size.
 
@@ -31,11 +32,12 @@ EXTRA_RANK = 32
 MAX_FIT_DOCS = 4000
 #: Weight of an item's row against a passage's in the fit.
 ITEM_WEIGHT = 1000.0
-MIN_COSINE = 0.35
 MIN_COVER = 0.8
 MIN_COVER_WITH_ANSWER = 0.5
 ANSWER_WORDS = 5
 MIN_ANSWER = 0.6
+#: A candidate has so many of an item's rarest words at least.
+NEEDED = 3
 SEED = 7
 
 #: Punctuation and white space part words; letters are lower-cased (A-Z).
@@ -70,15 +72,67 @@ def passage_starts(n: int, passage: int = PASSAGE, stride: int = STRIDE) -> np.n
 class Latent:
     """A block of items and its latent space; small, and sent to every task."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], idf: np.ndarray, basis: np.ndarray, rarest: float):
+    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], idf: np.ndarray, basis: np.ndarray):
         self.vocab, self.idf = vocab, idf
         self.word = (idf[:, None] * basis).astype(np.float32)  # latent vector of one occurrence
-        self.squares = np.append(idf, rarest) ** 2  # the last: a word outside the vocabulary (-1)
         self.ids = [i for i, _ in items]
         self.items = [[vocab[w] for w in ws] for _, ws in items]
         z = np.array([self.word[ws].sum(0) for ws in self.items], np.float32)
         self.z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        self.answers = [set(sorted(set(ws), key=lambda w: (-idf[w], w))[:ANSWER_WORDS]) for ws in self.items]
+        telling = [sorted(set(ws), key=lambda w: (-idf[w], w)) for ws in self.items]
+        self.answers = [set(t[:ANSWER_WORDS]) for t in telling]
+        self.pad = np.array([max(PASSAGE, len(ws)) for ws in self.items])
+        # A region that passes the checks lacks at most ``spare`` of an item's words or has most of its answer, so it has ``need`` at least of the item's
+        # ``spare`` + NEEDED rarest words, the answer among them, whatever these weigh.
+        self.least = [next(c for c in range(1, len(ws) + 1) if c / len(ws) >= MIN_COVER_WITH_ANSWER) for ws in self.items]
+        self.need = np.ones(len(items), np.int64)
+        tells: list[list[int]] = [[] for _ in vocab]
+        for i, (ws, t) in enumerate(zip(self.items, telling)):
+            spare = len(ws) - next(c for c in range(1, len(ws) + 1) if c / len(ws) >= MIN_COVER)
+            t = t[: max(ANSWER_WORDS, spare + NEEDED)]
+            of_answer = next(c for c in range(1, len(self.answers[i]) + 1) if c / len(self.answers[i]) >= MIN_ANSWER)
+            self.need[i] = max(1, min(len(t) - spare, of_answer))
+            for w in t:
+                tells[w].append(i)
+        self.n_tells = np.array([*map(len, tells), 0])  # the last: a word outside the vocabulary (-1)
+        self.tells_from = np.cumsum(self.n_tells) - self.n_tells
+        self.tells = np.array([i for t in tells for i in t], np.int64)
+
+    def candidates(self, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, range]]:
+        """(item, its consecutive passages) where enough of the item's rarest words come so close together that a passage's region can hold them."""
+        where = np.flatnonzero(self.n_tells[at])
+        w = at[where]
+        n = self.n_tells[w]
+        item = self.tells[np.repeat(self.tells_from[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], np.repeat(where, n)[order]
+        first = np.arange(len(item))
+        last = first + self.need[item] - 1
+        first, last = first[last < len(item)], last[last < len(item)]
+        pad = self.pad[item[first]]
+        near = (item[first] == item[last]) & (place[last] - place[first] < PASSAGE + 2 * pad)
+        first, last, pad = first[near], last[near], pad[near]
+        lo = np.searchsorted(starts, place[last] - PASSAGE - pad, "right")
+        hi = np.searchsorted(starts, place[first] + pad, "right")
+        held, begin, end = -1, 0, 0
+        for i, a, b in zip(item[first].tolist(), lo.tolist(), hi.tolist()):
+            if a >= b:
+                continue
+            if i == held and a <= end:
+                end = max(end, b)
+            else:
+                if held >= 0:
+                    yield held, range(begin, end)
+                held, begin, end = i, a, b
+        if held >= 0:
+            yield held, range(begin, end)
+
+    def cosine(self, words: list[int], i: int) -> float:
+        """Of a passage and an item, over the benchmark's words."""
+        w, n = np.unique([x for x in words if x >= 0], return_counts=True)
+        if len(w) == 0:
+            return 0.0
+        return float(self.z[i] @ (n @ self.word[w]) / max(np.linalg.norm(n * self.idf[w]), 1e-9))
 
     def search(self, text: bytes) -> list[tuple[int, float, float, float]]:
         """(item, cosine, cover, answer) of the items that the text gives away."""
@@ -89,27 +143,20 @@ class Latent:
             return []
         at = np.array(words)
         starts = passage_starts(n)
-        ends = np.minimum(starts + PASSAGE, n)
-        # a passage's length counts all its words; one that the benchmark lacks is as rare as can be
-        size, known = np.zeros(n + 1), np.zeros(n + 1)
-        np.cumsum(self.squares[at], out=size[1:])
-        np.cumsum(np.where(at >= 0, self.squares[at], 0), out=known[1:])
-        norm2 = size[ends] - size[starts]
-        may = np.flatnonzero(known[ends] - known[starts] >= MIN_COSINE**2 * norm2)  # the benchmark's words carry enough of the passage
-        if len(may) == 0:
-            return []
-        z = np.array([self.word[(w := at[s:e])[w >= 0]].sum(0) for s, e in zip(starts[may], ends[may])])
-        cos = (z @ self.z.T) / np.sqrt(np.maximum(norm2[may], 1e-9))[:, None]
         best: dict[int, tuple[float, float, float]] = {}
-        for p, i in np.argwhere(cos >= MIN_COSINE).tolist():
-            item = self.items[i]
-            pad = max(PASSAGE, len(item))
-            at_p = int(starts[may[p]])
-            region = words[max(0, at_p - pad) : at_p + PASSAGE + pad]
-            cover = common_subsequence(item, region) / len(item)
-            answer = len(self.answers[i].intersection(region)) / len(self.answers[i])
-            if cover >= MIN_COVER or cover >= MIN_COVER_WITH_ANSWER and answer >= MIN_ANSWER:
-                best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (cover, answer, float(cos[p, i])))
+        for i, passages in self.candidates(at, starts):
+            item, pad = self.items[i], int(self.pad[i])
+            step = 1 + 2 * pad // STRIDE
+            for p in range(passages.start, passages.stop, step):
+                some = starts[p : min(p + step, passages.stop)].tolist()
+                if len(some) > 1 and common_subsequence(item, words[max(0, some[0] - pad) : some[-1] + PASSAGE + pad]) < self.least[i]:
+                    continue  # too little even in all of these regions together
+                for s in some:
+                    region = words[max(0, s - pad) : s + PASSAGE + pad]
+                    cover = common_subsequence(item, region) / len(item)
+                    answer = len(self.answers[i].intersection(region)) / len(self.answers[i])
+                    if (cover >= MIN_COVER or cover >= MIN_COVER_WITH_ANSWER and answer >= MIN_ANSWER) and (cover, answer) >= best.get(i, (0.0, 0.0))[:2]:
+                        best[i] = max(best.get(i, (0.0, 0.0, -1.0)), (cover, answer, self.cosine(words[s : s + PASSAGE], i)))
         return [(self.ids[i], c, cover, answer) for i, (cover, answer, c) in sorted(best.items())]
 
 
@@ -187,7 +234,7 @@ def latent_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         n_docs, df = _document_frequency(source, vocab)
         idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
-        yield Latent(items, vocab, idf, _basis(source, n_docs, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, len(items) + extra_rank), float(np.log(1 + n_docs)))
+        yield Latent(items, vocab, idf, _basis(source, n_docs, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, len(items) + extra_rank))
 
 
 FOUND = "doc_id long, item_id long, cosine double, cover double, answer double"

@@ -288,6 +288,45 @@ def test_decontamination_catches_copies_and_paraphrases(spark):
     assert decontaminate.contaminated(docs, bench.where("item_id = 50")).count() == 0 and decontaminate.contaminated(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_finds_copies_of_frequent_words_among_rare_ones(spark):
+    rng = random.Random(4)
+    item = [w for w in WORDS if w.endswith("m")]  # 20 words that most documents have, so they weigh next to nothing
+    rare = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    docs = [(i, " ".join(rng.sample(item, 18) + rare(20))) for i in range(40)]
+    thinned = [w for k, w in enumerate(item) if k % 5 != 2]  # 16 of 20 words, in order
+    docs += [(100, " ".join(rare(40) + item + rare(40))), (101, " ".join(rare(40) + thinned + rare(40))), (102, " ".join(rare(40) + thinned[1:] + rare(40))), (103, " ".join(rare(200)))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["cover"] for r in got if r["doc_id"] >= 100 and r["cover"] >= 0.8} == {100: 1.0, 101: 0.8}
+
+
+def test_candidates_hold_all_that_passes_the_checks():
+    rng = random.Random(6)
+    common = [w.encode() for w in WORDS[:25]]
+    own = [b"w%d" % i for i in range(30)]
+    items = [(i, [rng.choice(common + own) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 5, 9, 15, 21, 33, 50, 90])]
+    vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
+    idf = np.array([0.01 if w in common else 5.0 for w in sorted(vocab)])
+    m = decontaminate.Latent(items, vocab, idf, np.eye(len(vocab)))
+    n_found = 0
+    for _ in range(150):
+        text = [rng.choice(common + [b"out"] * 60) for _ in range(rng.randint(1, 250))]
+        for _, ws in rng.sample(items, 2):
+            at = rng.randrange(len(text))
+            text[at:at] = [w for w in ws if rng.random() > rng.choice((0, 0.2, 0.5))]
+        words = [vocab.get(w, -1) for w in text]
+        expected = {}
+        for i, ws in enumerate(m.items):
+            pad = max(decontaminate.PASSAGE, len(ws))
+            for s in decontaminate.passage_starts(len(words)).tolist():
+                region = words[max(0, s - pad) : s + decontaminate.PASSAGE + pad]
+                cover, answer = decontaminate.common_subsequence(ws, region) / len(ws), len(m.answers[i].intersection(region)) / len(m.answers[i])
+                if cover >= decontaminate.MIN_COVER or cover >= decontaminate.MIN_COVER_WITH_ANSWER and answer >= decontaminate.MIN_ANSWER:
+                    expected[i] = max(expected.get(i, (0, 0)), (cover, answer))
+        assert {i: (cover, answer) for i, _, cover, answer in m.search(b" ".join(text))} == expected
+        n_found += len(expected)
+    assert n_found > 200
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
