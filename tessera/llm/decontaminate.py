@@ -77,8 +77,7 @@ class Latent:
         self.word = (idf[:, None] * basis).astype(np.float32)  # latent vector of one occurrence
         self.ids = [i for i, _ in items]
         self.items = [[vocab[w] for w in ws] for _, ws in items]
-        z = np.array([self.word[ws].sum(0) for ws in self.items], np.float32)
-        self.z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        self.z = [self._passages(ws) for ws in self.items]
         telling = [sorted(set(ws), key=lambda w: (-idf[w], w)) for ws in self.items]
         self.answers = [set(t[:ANSWER_WORDS]) for t in telling]
         self.pad = np.array([max(PASSAGE, len(ws)) for ws in self.items])
@@ -98,6 +97,11 @@ class Latent:
         self.tells_from = np.cumsum(self.n_tells) - self.n_tells
         self.tells = np.array([i for t in tells for i in t], np.int64)
 
+    def _passages(self, item: list[int]) -> np.ndarray:
+        """Latent vectors, of length one, of the passages that an item is cut into as documents are."""
+        z = np.array([self.word[item[s : s + PASSAGE]].sum(0) for s in passage_starts(len(item)).tolist()], np.float32)
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+
     def candidates(self, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, range]]:
         """(item, its consecutive passages) where enough of the item's rarest words come so close together that a passage's region can hold them."""
         where = np.flatnonzero(self.n_tells[at])
@@ -128,11 +132,11 @@ class Latent:
             yield held, range(begin, end)
 
     def cosine(self, words: list[int], i: int) -> float:
-        """Of a passage and an item, over the benchmark's words."""
+        """Of a passage and the item's passage nearest to it, over the benchmark's words."""
         w, n = np.unique([x for x in words if x >= 0], return_counts=True)
         if len(w) == 0:
             return 0.0
-        return float(self.z[i] @ (n @ self.word[w]) / max(np.linalg.norm(n * self.idf[w]), 1e-9))
+        return float((self.z[i] @ (n @ self.word[w])).max() / max(np.linalg.norm(n * self.idf[w]), 1e-9))
 
     def search(self, text: bytes) -> list[tuple[int, float, float, float]]:
         """(item, cosine, cover, answer) of the items that the text gives away."""
@@ -181,7 +185,7 @@ def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int,
 
 
 def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
-    """(words x rank) orthonormal basis: the range of AtA times a Gaussian matrix, A the rows of passages and items of length one."""
+    """(words x rank) orthonormal basis: the range of AtA times a Gaussian matrix, A the rows of passages, the items' too, of length one."""
     rng = np.random.default_rng(SEED)
     size = len(vocab)
     k = min(rank, size)
@@ -215,7 +219,7 @@ def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[byt
     got = part.repartition(8).mapInArrow(run, "w int, y array<double>").toArrow()  # 8 rows a word
     if got.num_rows:
         np.add.at(y, got.column("w").to_numpy(), np.array(got.column("y").combine_chunks().flatten()).reshape(-1, width))
-    product(items, idf, test, y, ITEM_WEIGHT)
+    product([ws[i : i + PASSAGE] for ws in items for i in range(0, len(ws), PASSAGE)], idf, test, y, ITEM_WEIGHT)
     u, _, _ = np.linalg.svd(y, full_matrices=False)
     return u[:, :k]
 

@@ -299,6 +299,15 @@ def test_decontamination_finds_copies_of_frequent_words_among_rare_ones(spark):
     assert {r["doc_id"]: r["cover"] for r in got if r["doc_id"] >= 100 and r["cover"] >= 0.8} == {100: 1.0, 101: 0.8}
 
 
+def test_decontamination_finds_long_items(spark):
+    rng = random.Random(5)
+    item = [f"q{rng.randrange(10**9)}" for _ in range(700)]
+    thinned = [w for k, w in enumerate(item) if k % 7]  # 600 of 700 words
+    docs = [(1, " ".join([prose(300), *item, prose(300)])), (2, " ".join([prose(90), *thinned, prose(20)])), (3, " ".join([prose(200), *item[:100], prose(200)]))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["cover"] for r in got} == {1: 1.0, 2: 600 / 700} and all(r["cosine"] > 0.5 for r in got)
+
+
 def test_candidates_hold_all_that_passes_the_checks():
     rng = random.Random(6)
     common = [w.encode() for w in WORDS[:25]]
