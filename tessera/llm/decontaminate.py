@@ -28,8 +28,9 @@ PASSAGE = 32
 STRIDE = 8
 #: Dimensions of the latent space beyond one for each item of the block; fewer than the items and rare words, which tell items apart, would drown in frequent ones.
 EXTRA_RANK = 32
-#: The latent basis is fitted on about so many documents, chosen by hash of the id, and all items.
-MAX_FIT_DOCS = 4000
+#: Passages whose products are formed at once, and tasks that sum them up, in the fit of the latent basis.
+ROWS_AT_ONCE = 64
+SUM_TASKS = 12
 #: Weight of an item's row against a passage's in the fit.
 ITEM_WEIGHT = 1000.0
 MIN_COVER = 0.8
@@ -184,8 +185,26 @@ def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int,
     return int(out[-1]), out[:-1]
 
 
-def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
-    """(words x rank) orthonormal basis: the range of AtA times a Gaussian matrix, A the rows of passages, the items' too, of length one."""
+def add_products(rows: list[list[int]], weight: np.ndarray, test: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
+    """Adds AtA times ``test`` to ``out``; A: a row of length one for each list of words, ``ROWS_AT_ONCE`` of them at a time."""
+    size = len(weight)
+    for i in range(0, len(rows), ROWS_AT_ONCE):
+        some = [ws for ws in rows[i : i + ROWS_AT_ONCE] if ws]
+        if not some:
+            continue
+        lengths = [len(ws) for ws in some]
+        key, n = np.unique(np.repeat(np.arange(len(some)) * size, lengths) + np.array([w for ws in some for w in ws]), return_counts=True)
+        row, w = np.divmod(key, size)
+        v = n * weight[w]
+        v /= np.sqrt(np.bincount(row, v * v))[row]
+        used, at = np.unique(w, return_inverse=True)
+        a = np.zeros((len(some), len(used)), test.dtype)  # few words are used by few rows, so it is small
+        a[row, at] = v
+        out[used] += scale * (a.T @ (a @ test[used]))
+
+
+def _basis(docs: DataFrame, items: list[list[int]], vocab: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
+    """(words x rank) orthonormal basis: the range of AtA times a Gaussian matrix, A the rows of all passages, the items' too, of length one."""
     rng = np.random.default_rng(SEED)
     size = len(vocab)
     k = min(rank, size)
@@ -193,33 +212,39 @@ def _basis(docs: DataFrame, n_docs: int, items: list[list[int]], vocab: dict[byt
     sent = docs.sparkSession.sparkContext.broadcast((vocab, idf, test.astype(np.float32)))
     width = test.shape[1]
 
-    def product(rows: list[list[int]], weight: np.ndarray, t: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
-        for ws in rows:
-            if not ws:
-                continue
-            w, n = np.unique(ws, return_counts=True)
-            v = n * weight[w]
-            norm2 = float((v * v).sum())
-            if norm2 > 0:
-                out[w] += v[:, None] * (scale * (v @ t[w]) / norm2)[None, :]
+    def rows_of(sums: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(words), 1000):
+            y = sums[words[i : i + 1000]]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, width, dtype=np.int32)), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 1000].astype(np.int32)), lists], names=["w", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weight, t = sent.value
+        get = words.get
         out = np.zeros((len(words), width))
+        held: list[list[int]] = []
         for batch in batches:
             for text in batch.column(1):
-                ws = words_of(text.as_py() or b"")
-                product([[words[w] for w in ws[i : i + PASSAGE] if w in words] for i in range(0, len(ws), PASSAGE)], weight, t, out)
-        flat = pa.array(out.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, width, dtype=np.int32)), flat)], names=["w", "y"])
+                ws = [get(w, -1) for w in words_of(text.as_py() or b"")]
+                held += [p for i in range(0, len(ws), PASSAGE) if (p := [w for w in ws[i : i + PASSAGE] if w >= 0])]
+                if len(held) >= 16 * ROWS_AT_ONCE:
+                    add_products(held, weight, t, out)
+                    held = []
+        add_products(held, weight, t, out)
+        yield from rows_of(out.astype(np.float32), np.flatnonzero(out.any(1)))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((size, width))
+        for batch in batches:
+            if batch.num_rows:
+                np.add.at(sums, batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, width))
+        yield from rows_of(sums, np.flatnonzero(sums.any(1)))
 
-    below = int((1 << 20) * min(1.0, MAX_FIT_DOCS / max(n_docs, 1))) + 1
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < below).limit(2 * MAX_FIT_DOCS)
     y = np.zeros((size, width))
-    got = part.repartition(8).mapInArrow(run, "w int, y array<double>").toArrow()  # 8 rows a word
+    got = docs.mapInArrow(run, "w int, y array<float>").repartition(SUM_TASKS, "w").mapInArrow(total, "w int, y array<double>").toArrow()  # a row a word
     if got.num_rows:
-        np.add.at(y, got.column("w").to_numpy(), np.array(got.column("y").combine_chunks().flatten()).reshape(-1, width))
-    product([ws[i : i + PASSAGE] for ws in items for i in range(0, len(ws), PASSAGE)], idf, test, y, ITEM_WEIGHT)
+        y[got.column("w").to_numpy()] = np.array(got.column("y").combine_chunks().flatten()).reshape(-1, width)
+    add_products([ws[i : i + PASSAGE] for ws in items for i in range(0, len(ws), PASSAGE)], idf, test, y, ITEM_WEIGHT)
     u, _, _ = np.linalg.svd(y, full_matrices=False)
     return u[:, :k]
 
@@ -238,7 +263,7 @@ def latent_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         n_docs, df = _document_frequency(source, vocab)
         idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
-        yield Latent(items, vocab, idf, _basis(source, n_docs, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, len(items) + extra_rank))
+        yield Latent(items, vocab, idf, _basis(source, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, len(items) + extra_rank))
 
 
 FOUND = "doc_id long, item_id long, cosine double, cover double, answer double"

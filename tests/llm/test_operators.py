@@ -308,6 +308,26 @@ def test_decontamination_finds_long_items(spark):
     assert {r["doc_id"]: r["cover"] for r in got} == {1: 1.0, 2: 600 / 700} and all(r["cosine"] > 0.5 for r in got)
 
 
+def test_latent_basis_is_fitted_on_all_passages(spark):
+    rng = random.Random(9)
+    item = WORDS[:40]
+    texts = [" ".join(rng.sample(item[:20] if i % 9 else item[20:], 3) + ["out"] * 31 + item[i % 7 : i % 7 + 2]) for i in range(9000)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    m = next(decontaminate.latent_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench, extra_rank=2))
+    test = np.random.default_rng(decontaminate.SEED).standard_normal((len(m.vocab), 3 + 8))
+    rows = [text.encode().split()[i : i + 32] for text in texts for i in (0, 32)] + [[w.encode() for w in item[i : i + 32]] for i in (0, 32)]
+    a = np.zeros((len(rows), len(m.vocab)))
+    for i, ws in enumerate(rows):
+        for w in ws:
+            if w in m.vocab:
+                a[i, m.vocab[w]] += m.idf[m.vocab[w]]
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+    a[-2:] *= decontaminate.ITEM_WEIGHT**0.5
+    u = np.linalg.svd(a.T @ (a @ test), full_matrices=False)[0][:, :3]
+    got = m.word / m.idf[:, None]
+    assert np.abs(got @ got.T - u @ u.T).max() < 1e-3
+
+
 def test_candidates_hold_all_that_passes_the_checks():
     rng = random.Random(6)
     common = [w.encode() for w in WORDS[:25]]
