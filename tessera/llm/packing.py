@@ -143,11 +143,11 @@ def windows(sizes: np.ndarray, sequence: int = SEQUENCE) -> tuple[list[tuple[int
     return out, k
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, sequence: int = SEQUENCE, cut: int = CUT, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
-    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    """One row a piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -174,14 +174,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                     rows.append((d, start + at, length, next_id + w, filled[w]))
                     filled[w] += length
                 next_id += k
-            crc = [zlib.crc32(group[d][1][4 * s : 4 * (s + m)]) for d, s, m, _, _ in rows]
+            ids = [group[d][1][4 * s : 4 * (s + m)] for d, s, m, _, _ in rows]
+            crc = [zlib.crc32(x) for x in ids]
             a = np.array(rows, np.int64).reshape(-1, 5)
+            ends = np.concatenate([[0], np.cumsum(a[:, 2])]).astype(np.int32)
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([group[r[0]][0] for r in rows], pa.int64()), pa.array(a[:, 1].copy()), pa.array(a[:, 2].copy()), pa.array(crc, pa.int64()),
                     pa.array([len(group[r[0]][1]) // 4 for r in rows], pa.int64()), pa.array(a[:, 3].copy()), pa.array(a[:, 4].copy()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))),
                 ],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
             group.clear()
             return out
@@ -198,7 +201,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
 
 
 QUERIES = {"op2_packing": op2_packing}

@@ -120,6 +120,17 @@ def test_packing_is_a_partition_of_the_ids(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_returns_the_ids(docs):
+    tok = packing.encoder(packing.VOCABULARY).tokenizer
+    texts = [(i, t) for i, t in ROWS if i is not None and [j for j, _ in ROWS].count(i) == 1]
+    got = {i: [] for i, _ in texts}
+    for r in packing.pack(docs, docs_per_group=7).orderBy("doc_id", "start").collect():
+        assert len(r["ids"]) == r["length"]
+        if r["doc_id"] in got:
+            got[r["doc_id"]] += r["ids"]
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for i, t in texts}
+
+
 @pytest.mark.parametrize("text", ["É́ x", "Σας ΣΑΣ", "<|endoftext|> hi<|startoftext|>x", "it's don't we'll I'd'd 's", "½ 12 ³²", "İstanbul ǅ", "日本語 テキスト", "\x1ca\x85d e", "ﬁne K Å", "a_b-c..d!!", "", "퟿🙂a"])
 def test_word_by_word_ids_are_the_tokenizers(text):
     e = packing.Encoder(packing.VOCABULARY)
