@@ -1,9 +1,9 @@
-"""Operator 4, substring dedup: repeats of 50 words, by a suffix tree in prefix groups.
+"""Operator 4, substring dedup: repeats of 50 words, by hashes of windows in groups by anchor.
 
-Every window of ``span`` words is a suffix cut at that depth, so the tree's internal nodes at that depth are the repeated windows. The tree is built level by level.
-A window's prefix group is its anchor: the ``gram`` words in it with the least hash, at a place that differs from window to window (equal windows have equal
-anchors there). A group with one text has leaves only and is dropped unread; in the others suffixes are told apart down to the full depth, and a node keeps the least
-document that passes it. Equal texts share one path: the document with the least id stands for all, so copies are never compared.
+This takes the place of suffix trees partitioned by prefix; no tree is built. A window of ``span`` words belongs to the group of its anchor: the ``gram`` words in it with
+the least hash, at a place that differs from window to window (equal windows have equal anchors there). A group with one text is dropped unread; in the others windows
+are told apart by a hash of all their words, and the least document with a window keeps it. Words are not compared: equal hashes (128 bits with the anchor's) count as
+equal windows. Equal texts are taken as one: the document with the least id stands for all, so copies are never compared.
 
 Defined results: a null text has no words; a document under ``span`` words loses none; a document whose text a smaller id has loses every word if it has ``span`` or more; rows with
 one doc_id are never smaller than each other, and each gives a row; a null doc_id counts as the largest; an empty table gives an empty result; extra
