@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,15 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that one key may bring to a task of a join, whatever the size of the table.
+HOT_ROWS = 1_000_000
+
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a local one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a folder of our own, in a session without other machines only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
@@ -78,10 +84,10 @@ def crc_mod(id_col: str, m: int):
 def join_by_class(rows: DataFrame, classes: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """``rows`` joined with ``classes`` (one row a key; ``count``: how many rows have the key) without skew.
 
-    A class with over a thousandth of all rows is hot; there are under 1000 such classes whatever the input, so they are
-    broadcast. The others meet in a shuffled join in which no key has more than a thousandth of the rows.
+    A class with over ``HOT_ROWS`` rows, or over a thousandth of all rows, is hot. There are at most 1000 of the latter and one for each ``HOT_ROWS`` rows of the former, so they
+    are broadcast. The others meet in a shuffled join in which no key has more than ``HOT_ROWS`` rows.
     """
-    hot_if = F.col(count) * 1000 > F.lit(total)
+    hot_if = F.col(count) > F.lit(max(1, min(total // 1000, HOT_ROWS)))
     hot = classes.where(hot_if)
     cold = classes.where(~hot_if)
     big = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
