@@ -1,15 +1,20 @@
 """Operator 8, benchmark decontamination: latent semantic retrieval, then checks of words in order and of answers.
 
-Passages are windows of words, weighted by TF-IDF over the benchmark's vocabulary; document frequencies cover all documents. A randomised SVD (a Gaussian test matrix,
-products with the passage matrix summed over tasks, an orthonormal basis of the result) gives the latent space, in which found passages are scored: the cosine is reported and
-decides nothing. A passage is a candidate for an item if the region around it has enough of the item's rarest words for the checks to be passed; no region that passes
-them is passed over, whatever words weigh and whatever else the passage holds. It counts as contaminated if the longest common subsequence of words covers enough of
-the item, or somewhat less of it together with the item's answer (its rarest words); so an item of one or two words is given away by any text that has them.
+Words of all documents are hashed into ``BUCKETS`` features, one vocabulary for the whole corpus and the whole benchmark; document frequencies cover all documents. The matrix A has a
+row of length one for each passage (``PASSAGE`` words) of every document and item, weighted by TF-IDF. Its randomised SVD is formed over the cluster: a Gaussian test
+matrix T, the products AtA T summed word by word on the executors, their orthonormal basis Q, a power step AtA Q, and the singular values and vectors of the small
+matrix that is left. The latent space has ``RANK`` dimensions, whatever the number of items, so words that keep the same company lie together.
 
-The benchmark is read in blocks of ``ITEMS_PER_BLOCK`` items, so what a task holds is bounded whatever its size.
+A passage is a candidate for an item if their cosine in the latent space is ``MIN_COSINE`` or more, or if the region around it has so many of the item's rarest words that
+the checks could be passed by them alone: no copy is passed over, whatever its words weigh. Candidates are checked: the longest common subsequence of words has to cover
+``MIN_COVER`` of the item, or ``MIN_COVER_WITH_ANSWER`` together with the item's answer (its rarest words), or, where the latent cosine holds,
+``MIN_COVER_LATENT`` with ``MIN_ANSWER_LATENT`` of the answer: a paraphrase in other words.
+
+What a task holds of the benchmark is bounded: it is searched for in blocks of ``ITEMS_PER_BLOCK`` items. They share vocabulary, frequencies and latent space, so blocks change no result.
 
 Defined results: null and empty texts and items match nothing; items with the same words are each reported; equal rows each give rows; a null id is kept in its row; an empty table on
-either side gives an empty result; extra columns play no part.
+either side gives an empty result; texts of any length are searched whole; bytes that aren't UTF-8 are letters like any other; extra columns, whatever their names, play no part (and stay in
+``drop_contaminated``). An item of one or two words is given away by any text that has them.
 """
 
 from __future__ import annotations
@@ -21,32 +26,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text, keep_rows
+from . import _words
+from ._common import materialize
 
-ITEMS_PER_BLOCK = 1000
+ITEMS_PER_BLOCK = 20_000
+#: Passages begin every ``STRIDE`` words.
 PASSAGE = 32
-STRIDE = 8
-#: Dimensions of the latent space beyond one for each item of the block; fewer than the items and rare words, which tell items apart, would drown in frequent ones.
-EXTRA_RANK = 32
-#: Passages whose products are formed at once, and tasks that sum them up, in the fit of the latent basis.
-ROWS_AT_ONCE = 64
+STRIDE = 16
+BUCKETS = 1 << 15
+RANK = 32
+OVERSAMPLE = 8
+#: Words whose vectors are in memory at once.
+WORDS_AT_ONCE = 1 << 15
+#: Cosines formed at once.
+COSINES_AT_ONCE = 1 << 22
+#: Passages whose products are formed at once.
+ROWS_AT_ONCE = 32
+#: Tasks that sum up the products; a row for each bucket.
 SUM_TASKS = 12
-#: Weight of an item's row against a passage's in the fit.
-ITEM_WEIGHT = 1000.0
+MIN_COSINE = 0.9
 MIN_COVER = 0.8
 MIN_COVER_WITH_ANSWER = 0.5
+MIN_COVER_LATENT = 0.4
 ANSWER_WORDS = 5
 MIN_ANSWER = 0.6
-#: A candidate has so many of an item's rarest words at least.
+MIN_ANSWER_LATENT = 0.4
+#: A candidate by words has so many of an item's rarest words at least.
 NEEDED = 3
 SEED = 7
 
 #: Punctuation and white space part words; letters are lower-cased (A-Z).
-_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
+LETTERS = np.frombuffer(bytes(c if c >= 128 or chr(c).isalnum() else 0 for c in range(256)).lower(), np.uint8)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text)."""
+    return _words.hashes(*_words.bytes_of(texts), LETTERS)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes & (BUCKETS - 1)
 
 
 def common_subsequence(item: list[int], region: list[int]) -> int:
@@ -64,242 +83,373 @@ def common_subsequence(item: list[int], region: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
-def passage_starts(n: int, passage: int = PASSAGE, stride: int = STRIDE) -> np.ndarray:
-    last = max(0, n - passage)
-    starts = np.arange(0, last + 1, stride)
-    return starts if starts[-1] == last else np.r_[starts, last]
+def least_share(share: float, n: int) -> int:
+    """The least count whose share of ``n`` is ``share`` or more."""
+    return next(c for c in range(n + 1) if c >= share * n or c / max(n, 1) >= share)
+
+
+def block_sums(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each block of ``STRIDE`` words, blocks of each text); ``ends``: where each text's words begin, and the last one's end."""
+    n = np.diff(ends)
+    blocks = -(-n // STRIDE)
+    first = np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return np.repeat(ends[:-1], blocks) + STRIDE * (np.arange(blocks.sum()) - first), blocks
+
+
+def latent_passages(hashes: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(latent vectors of length one, of the passages; text of each; word at which each begins). A text without words has no passage."""
+    starts, blocks = block_sums(hashes, ends)
+    if not len(starts):
+        return np.empty((0, word.shape[1]), np.float32), np.empty(0, np.int64), np.empty(0, np.int64)
+    step = max(1, WORDS_AT_ONCE // STRIDE)
+    sums = np.empty((len(starts), word.shape[1]), np.float32)
+    for i in range(0, len(starts), step):
+        j = min(i + step, len(starts))
+        stop = starts[j] if j < len(starts) else len(hashes)
+        sums[i:j] = np.add.reduceat(word[bucket_of(hashes[starts[i] : stop])], starts[i:j] - starts[i], axis=0)
+    text = np.repeat(np.arange(len(blocks)), blocks)
+    more = np.r_[text[1:] == text[:-1], False]  # a block after it
+    sums[:-1] += np.where(more[:-1, None], sums[1:], 0)
+    keep = more | np.repeat(blocks == 1, blocks)
+    z = sums[keep]
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    return z, text[keep], starts[keep]
 
 
 class Latent:
-    """A block of items and its latent space; small, and sent to every task."""
+    """A block of items in the latent space; small, and sent to every task."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], idf: np.ndarray, basis: np.ndarray):
-        self.vocab, self.idf = vocab, idf
-        self.word = (idf[:, None] * basis).astype(np.float32)  # latent vector of one occurrence
+    def __init__(self, items: list[tuple[int, np.ndarray]], df: dict[int, int], word: np.ndarray):
+        """``items``: (id, hashes of its words); ``df``: documents that hold each of these; ``word``: latent vector of one occurrence of each bucket."""
+        self.word = word
         self.ids = [i for i, _ in items]
-        self.items = [[vocab[w] for w in ws] for _, ws in items]
-        self.z = [self._passages(ws) for ws in self.items]
-        telling = [sorted(set(ws), key=lambda w: (-idf[w], w)) for ws in self.items]
+        self.known = np.unique(np.concatenate([w for _, w in items]))
+        self.items = [np.searchsorted(self.known, w).tolist() for _, w in items]
+        self.z, self.z_item, _ = latent_passages(np.concatenate([w for _, w in items]), np.cumsum([0] + [len(w) for _, w in items]), word)
+        count = [df.get(int(h), 0) for h in self.known]
+        telling = [sorted(set(ws), key=lambda w: (count[w], w)) for ws in self.items]
         self.answers = [set(t[:ANSWER_WORDS]) for t in telling]
+        self.of_answer = np.array([least_share(MIN_ANSWER_LATENT, len(a)) for a in self.answers], np.int64)
+        answers: list[list[int]] = [[] for _ in self.known]
+        for i, a in enumerate(self.answers):
+            for w in sorted(a):
+                answers[w].append(i)
+        self.n_answers = np.array([*map(len, answers), 0])
+        self.answers_from = np.cumsum(self.n_answers) - self.n_answers
+        self.answer_of = np.array([i for a in answers for i in a], np.int64)
         self.pad = np.array([max(PASSAGE, len(ws)) for ws in self.items])
-        # A region that passes the checks lacks at most ``spare`` of an item's words or has most of its answer, so it has ``need`` at least of the item's
+        # A region that passes the checks by words lacks at most ``spare`` of an item's words or has most of its answer, so it has ``need`` at least of the item's
         # ``spare`` + NEEDED rarest words, the answer among them, whatever these weigh.
-        self.least = [next(c for c in range(1, len(ws) + 1) if c / len(ws) >= MIN_COVER_WITH_ANSWER) for ws in self.items]
+        self.least = [least_share(MIN_COVER_LATENT, len(ws)) for ws in self.items]
         self.need = np.ones(len(items), np.int64)
-        tells: list[list[int]] = [[] for _ in vocab]
+        tells: list[list[int]] = [[] for _ in self.known]
         for i, (ws, t) in enumerate(zip(self.items, telling)):
-            spare = len(ws) - next(c for c in range(1, len(ws) + 1) if c / len(ws) >= MIN_COVER)
+            spare = len(ws) - least_share(MIN_COVER, len(ws))
             t = t[: max(ANSWER_WORDS, spare + NEEDED)]
-            of_answer = next(c for c in range(1, len(self.answers[i]) + 1) if c / len(self.answers[i]) >= MIN_ANSWER)
-            self.need[i] = max(1, min(len(t) - spare, of_answer))
+            self.need[i] = max(1, min(len(t) - spare, least_share(MIN_ANSWER, len(self.answers[i]))))
             for w in t:
                 tells[w].append(i)
-        self.n_tells = np.array([*map(len, tells), 0])  # the last: a word outside the vocabulary (-1)
+        self.n_tells = np.array([*map(len, tells), 0])  # the last: a word outside the benchmark
         self.tells_from = np.cumsum(self.n_tells) - self.n_tells
         self.tells = np.array([i for t in tells for i in t], np.int64)
 
-    def _passages(self, item: list[int]) -> np.ndarray:
-        """Latent vectors, of length one, of the passages that an item is cut into as documents are."""
-        z = np.array([self.word[item[s : s + PASSAGE]].sum(0) for s in passage_starts(len(item)).tolist()], np.float32)
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-
-    def candidates(self, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, range]]:
-        """(item, its consecutive passages) where enough of the item's rarest words come so close together that a passage's region can hold them."""
-        where = np.flatnonzero(self.n_tells[at])
+    @staticmethod
+    def _hits(at: np.ndarray, n_of: np.ndarray, begin: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place): where words of an item's list stand, by item and place."""
+        where = np.flatnonzero(n_of[at])
         w = at[where]
-        n = self.n_tells[w]
-        item = self.tells[np.repeat(self.tells_from[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        n = n_of[w]
+        item = items[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         order = np.argsort(item, kind="stable")
-        item, place = item[order], np.repeat(where, n)[order]
+        return item[order], np.repeat(where, n)[order]
+
+    def _by_words(self, at: np.ndarray, text: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, from, to): runs of passages, by the words at which they begin, whose regions can hold enough of the item's rarest words."""
+        item, place = self._hits(at, self.n_tells, self.tells_from, self.tells)
         first = np.arange(len(item))
         last = first + self.need[item] - 1
         first, last = first[last < len(item)], last[last < len(item)]
         pad = self.pad[item[first]]
-        near = (item[first] == item[last]) & (place[last] - place[first] < PASSAGE + 2 * pad)
+        near = (item[first] == item[last]) & (text[place[first]] == text[place[last]]) & (place[last] - place[first] < PASSAGE + 2 * pad)
         first, last, pad = first[near], last[near], pad[near]
-        lo = np.searchsorted(starts, place[last] - PASSAGE - pad, "right")
-        hi = np.searchsorted(starts, place[first] + pad, "right")
-        held, begin, end = -1, 0, 0
-        for i, a, b in zip(item[first].tolist(), lo.tolist(), hi.tolist()):
-            if a >= b:
-                continue
-            if i == held and a <= end:
-                end = max(end, b)
-            else:
-                if held >= 0:
-                    yield held, range(begin, end)
-                held, begin, end = i, a, b
-        if held >= 0:
-            yield held, range(begin, end)
-
-    def cosine(self, words: list[int], i: int) -> float:
-        """Of a passage and the item's passage nearest to it, over the benchmark's words."""
-        w, n = np.unique([x for x in words if x >= 0], return_counts=True)
-        if len(w) == 0:
-            return 0.0
-        return float((self.z[i] @ (n @ self.word[w])).max() / max(np.linalg.norm(n * self.idf[w]), 1e-9))
-
-    def search(self, text: bytes) -> list[tuple[int, float, float, float]]:
-        """(item, cosine, cover, answer) of the items that the text gives away."""
-        get = self.vocab.get
-        words = [get(w, -1) for w in words_of(text)]
-        n = len(words)
-        if n == 0:
+        item, t = item[first], text[place[first]]
+        begin = first_word[t]
+        # a passage at s has the region from s - pad to s + PASSAGE + pad
+        lo = np.maximum(0, place[last] - begin - PASSAGE - pad + 1)
+        hi = place[first] - begin + pad
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (t[1:] != t[:-1]) | (lo[1:] > hi[:-1] + 1)
+        at_new = np.flatnonzero(new)
+        return t[at_new], item[at_new], lo[at_new], hi[np.r_[at_new[1:], len(item)] - 1] if len(item) else hi
+
+    def _by_cosine(self, hashes: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, word at which the passage begins, cosine), as near as ``MIN_COSINE`` in the latent space, and with enough of the answer's words around."""
+        z, text, start = latent_passages(hashes, ends, self.word)
+        n = len(at) + 1
+        item, place = self._hits(at, self.n_answers, self.answers_from, self.answer_of)
+        hits = item * n + place
+        step = max(1, COSINES_AT_ONCE // max(1, len(self.z)))
+        found = []
+        for i in range(0, len(z), step):
+            s = z[i : i + step] @ self.z.T
+            p, k = np.nonzero(s >= MIN_COSINE)
+            t, j, a = text[i + p], self.z_item[k], start[i + p]
+            pad = self.pad[j]
+            held = np.searchsorted(hits, j * n + np.minimum(ends[t + 1], a + PASSAGE + pad)) - np.searchsorted(hits, j * n + np.maximum(ends[t], a - pad))
+            ok = held >= self.of_answer[j]
+            found.append((t[ok], j[ok], a[ok], s[p[ok], k[ok]]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def cosine(self, hashes: np.ndarray, i: int) -> float:
+        """Of a passage and the item's passage nearest to it, in the latent space."""
+        z = self.word[bucket_of(hashes)].sum(0)
+        return float((self.z[self.z_item == i] @ z).max() / max(np.linalg.norm(z), 1e-9))
+
+    def search(self, hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """(text, item, cosine, cover, answer) of the items that each text gives away; ``counts``: words of each text."""
+        if not len(hashes) or not len(self.ids):
             return []
-        at = np.array(words)
-        starts = passage_starts(n)
-        best: dict[int, tuple[float, float, float]] = {}
-        for i, passages in self.candidates(at, starts):
-            item, pad = self.items[i], int(self.pad[i])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.searchsorted(self.known, hashes)
+        at[self.known[np.minimum(at, len(self.known) - 1)] != hashes] = len(self.known)
+        text = np.repeat(np.arange(len(counts)), counts)
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+
+        def check(t: int, i: int, s: int, cosine: float | None) -> None:
+            item, pad, begin, end = self.items[i], int(self.pad[i]), int(ends[t]), int(ends[t + 1])
+            region = at[max(begin, begin + s - pad) : min(end, begin + s + PASSAGE + pad)].tolist()
+            answer = len(self.answers[i].intersection(region)) / len(self.answers[i])
+            if cosine is not None and answer < MIN_ANSWER_LATENT:
+                return
+            cover = common_subsequence(item, region) / len(item)
+            latent = cosine is not None and cover >= MIN_COVER_LATENT and answer >= MIN_ANSWER_LATENT
+            if cover >= MIN_COVER or cover >= MIN_COVER_WITH_ANSWER and answer >= MIN_ANSWER or latent:
+                if (cover, answer) >= best.get((t, i), (0.0, 0.0))[:2]:
+                    c = self.cosine(hashes[begin + s : min(end, begin + s + PASSAGE)], i) if cosine is None else cosine
+                    best[t, i] = max(best.get((t, i), (0.0, 0.0, -1.0)), (cover, answer, c))
+
+        for t, i, lo, hi in zip(*(x.tolist() for x in self._by_words(at, text, ends[:-1]))):
+            n = int(counts[t])
+            starts = [s for s in range(-(-lo // STRIDE) * STRIDE, min(hi, max(0, n - STRIDE - 1)) + 1, STRIDE)]
+            pad, begin, end = int(self.pad[i]), int(ends[t]), int(ends[t + 1])
             step = 1 + 2 * pad // STRIDE
-            for p in range(passages.start, passages.stop, step):
-                some = starts[p : min(p + step, passages.stop)].tolist()
-                if len(some) > 1 and common_subsequence(item, words[max(0, some[0] - pad) : some[-1] + PASSAGE + pad]) < self.least[i]:
+            for p in range(0, len(starts), step):
+                some = starts[p : p + step]
+                if len(some) > 1 and common_subsequence(self.items[i], at[max(begin, begin + some[0] - pad) : min(end, begin + some[-1] + PASSAGE + pad)].tolist()) < self.least[i]:
                     continue  # too little even in all of these regions together
                 for s in some:
-                    region = words[max(0, s - pad) : s + PASSAGE + pad]
-                    cover = common_subsequence(item, region) / len(item)
-                    answer = len(self.answers[i].intersection(region)) / len(self.answers[i])
-                    if (cover >= MIN_COVER or cover >= MIN_COVER_WITH_ANSWER and answer >= MIN_ANSWER) and (cover, answer) >= best.get(i, (0.0, 0.0))[:2]:
-                        best[i] = max(best.get(i, (0.0, 0.0, -1.0)), (cover, answer, self.cosine(words[s : s + PASSAGE], i)))
-        return [(self.ids[i], c, cover, answer) for i, (cover, answer, c) in sorted(best.items())]
+                    check(t, i, s, None)
+        t, i, start, cosine = self._by_cosine(hashes, at, ends)
+        if len(t):
+            # the nearest of the item's passages
+            order = np.lexsort((-cosine, start, i))
+            t, i, start, cosine = t[order], i[order], start[order], cosine[order]
+            one = np.r_[True, (start[1:] != start[:-1]) | (i[1:] != i[:-1])]
+            for row in zip(t[one].tolist(), i[one].tolist(), (start - ends[t])[one].tolist(), cosine[one].tolist()):
+                check(*row)
+        return [(t, self.ids[i], c, cover, answer) for (t, i), (cover, answer, c) in sorted(best.items())]
 
 
-def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """Documents, and how many of them hold each word: over all documents."""
-    known = docs.sparkSession.sparkContext.broadcast(vocab)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words: the hashes, eight bytes each), written once; every later pass is made of array operations only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known.value
-        df = np.zeros(len(words) + 1, np.int64)
         for batch in batches:
-            df[-1] += batch.num_rows
-            for t in batch.column(1):
-                for w in words.keys() & words_of(t.as_py() or b""):
-                    df[words[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)], names=["w", "df"])
+            h, counts = word_hashes(batch.column(1))
+            at = np.concatenate([[0], 8 * np.cumsum(counts)])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), words.cast(pa.binary())], names=["id", "words"])
+
+    return materialize(_texts(docs, id_col, text_col).mapInArrow(run, "id long, words binary"), "words")
+
+
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = _words.bytes_of(column)
+    return data[at[0] : at[-1]].view(np.int64) if at[-1] > at[0] else np.empty(0, np.int64), (at - at[0]) // 8
+
+
+def _in_slices(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, their texts' ends) of a few texts at a time, or of one."""
+    for i, j in _words.slices(ends, WORDS_AT_ONCE):
+        yield words[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+
 
-    got = docs.mapInArrow(run, "w int, df long").groupBy("w").agg(F.sum("df").alias("df")).toArrow()
-    out = np.zeros(len(vocab) + 1, np.int64)
+def _frequencies(hashed: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Documents, how many of them hold each bucket, and each of the ``known`` words: over all documents."""
+    sent = hashed.sparkSession.sparkContext.broadcast(known)
+    size = BUCKETS + len(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = sent.value
+        df = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            df[-1] += batch.num_rows
+            for words, ends in _in_slices(*_unpack(batch.column(1))):
+                text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                df[:BUCKETS] += np.bincount(np.unique(text * BUCKETS + bucket_of(words)) % BUCKETS, minlength=BUCKETS)
+                if len(mine):
+                    at = np.minimum(np.searchsorted(mine, words), len(mine) - 1)
+                    hit = mine[at] == words
+                    df[BUCKETS:-1] += np.bincount(np.unique(text[hit] * len(mine) + at[hit]) % len(mine), minlength=len(mine))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["w", "df"])
+
+    got = hashed.mapInArrow(run, "w long, df long").groupBy("w").agg(F.sum("df").alias("df")).toArrow()  # a row a bucket and benchmark word
+    out = np.zeros(size + 1, np.int64)
     out[got.column("w").to_numpy()] = got.column("df").to_numpy()
-    return int(out[-1]), out[:-1]
-
-
-def add_products(rows: list[list[int]], weight: np.ndarray, test: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
-    """Adds AtA times ``test`` to ``out``; A: a row of length one for each list of words, ``ROWS_AT_ONCE`` of them at a time."""
-    size = len(weight)
-    for i in range(0, len(rows), ROWS_AT_ONCE):
-        some = [ws for ws in rows[i : i + ROWS_AT_ONCE] if ws]
-        if not some:
-            continue
-        lengths = [len(ws) for ws in some]
-        key, n = np.unique(np.repeat(np.arange(len(some)) * size, lengths) + np.array([w for ws in some for w in ws]), return_counts=True)
-        row, w = np.divmod(key, size)
-        v = n * weight[w]
-        v /= np.sqrt(np.bincount(row, v * v))[row]
-        used, at = np.unique(w, return_inverse=True)
-        a = np.zeros((len(some), len(used)), test.dtype)  # few words are used by few rows, so it is small
-        a[row, at] = v
-        out[used] += scale * (a.T @ (a @ test[used]))
-
-
-def _basis(docs: DataFrame, items: list[list[int]], vocab: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
-    """(words x rank) orthonormal basis: the range of AtA times a Gaussian matrix, A the rows of all passages, the items' too, of length one."""
-    rng = np.random.default_rng(SEED)
-    size = len(vocab)
-    k = min(rank, size)
-    test = rng.standard_normal((size, min(size, k + 8)))
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, idf, test.astype(np.float32)))
+    return int(out[-1]), out[:BUCKETS], out[BUCKETS:-1]
+
+
+def add_products(words: np.ndarray, ends: np.ndarray, idf: np.ndarray, test: np.ndarray, out: np.ndarray) -> None:
+    """Adds AtA times ``test`` to ``out``; A: a row of length one for each passage of ``PASSAGE`` words, cut without overlap."""
+    n = np.diff(ends)
+    passages = -(-n // PASSAGE)
+    row = np.repeat(np.cumsum(passages) - passages, n) + (np.arange(len(words)) - np.repeat(ends[:-1], n)) // PASSAGE
+    key, k = np.unique(row * BUCKETS + bucket_of(words), return_counts=True)
+    row, w = np.divmod(key, BUCKETS)
+    v = k * idf[w]
+    v = (v / np.sqrt(np.maximum(np.bincount(row, v * v), 1e-12))[row]).astype(test.dtype)
+    for first in range(0, int(passages.sum()), ROWS_AT_ONCE):
+        i, j = np.searchsorted(row, (first, first + ROWS_AT_ONCE))
+        used, at = np.unique(w[i:j], return_inverse=True)
+        a = np.zeros((ROWS_AT_ONCE, len(used)), test.dtype)  # few words are used by few rows, so it is small
+        a[row[i:j] - first, at] = v[i:j]
+        out[used] += a.T @ (a @ test[used])
+
+
+def _products(hashed: DataFrame, items: list[np.ndarray], idf: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """AtA times ``test`` over the passages of all documents and items; summed on the executors, a row for each bucket comes back."""
+    test = test.astype(np.float32)
+    sent = hashed.sparkSession.sparkContext.broadcast((idf, test))
     width = test.shape[1]
 
-    def rows_of(sums: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(words), 1000):
-            y = sums[words[i : i + 1000]]
+    def rows_of(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(sums.any(1))
+        for i in range(0, len(used), 4096):
+            y = sums[used[i : i + 4096]]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, width, dtype=np.int32)), pa.array(y.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 1000].astype(np.int32)), lists], names=["w", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 4096].astype(np.int32)), lists], names=["w", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weight, t = sent.value
-        get = words.get
-        out = np.zeros((len(words), width))
-        held: list[list[int]] = []
+        weight, t = sent.value
+        out = np.zeros((BUCKETS, width))
         for batch in batches:
-            for text in batch.column(1):
-                ws = [get(w, -1) for w in words_of(text.as_py() or b"")]
-                held += [p for i in range(0, len(ws), PASSAGE) if (p := [w for w in ws[i : i + PASSAGE] if w >= 0])]
-                if len(held) >= 16 * ROWS_AT_ONCE:
-                    add_products(held, weight, t, out)
-                    held = []
-        add_products(held, weight, t, out)
-        yield from rows_of(out.astype(np.float32), np.flatnonzero(out.any(1)))
+            for words, ends in _in_slices(*_unpack(batch.column(1))):
+                add_products(words, ends, weight, t, out)
+        yield from rows_of(out.astype(np.float32))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((size, width))
+        sums = np.zeros((BUCKETS, width))
         for batch in batches:
             if batch.num_rows:
-                np.add.at(sums, batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, width))
-        yield from rows_of(sums, np.flatnonzero(sums.any(1)))
-
-    y = np.zeros((size, width))
-    got = docs.mapInArrow(run, "w int, y array<float>").repartition(SUM_TASKS, "w").mapInArrow(total, "w int, y array<double>").toArrow()  # a row a word
+                w = batch.column(0).to_numpy()
+                order = np.argsort(w, kind="stable")
+                w, y = w[order], batch.column(1).flatten().to_numpy().reshape(-1, width)[order].astype(float)
+                starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                sums[w[starts]] += np.add.reduceat(y, starts, axis=0)
+        yield from rows_of(sums)
+
+    out = np.zeros((BUCKETS, width))
+    got = hashed.mapInArrow(run, "w int, y array<float>").repartition(SUM_TASKS, "w").mapInArrow(total, "w int, y array<double>").toArrow()
     if got.num_rows:
-        y[got.column("w").to_numpy()] = np.array(got.column("y").combine_chunks().flatten()).reshape(-1, width)
-    add_products([ws[i : i + PASSAGE] for ws in items for i in range(0, len(ws), PASSAGE)], idf, test, y, ITEM_WEIGHT)
-    u, _, _ = np.linalg.svd(y, full_matrices=False)
-    return u[:, :k]
-
-
-def latent_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra_rank: int = EXTRA_RANK) -> Iterator[Latent]:
-    """The benchmark's blocks with their latent spaces, one at a time."""
-    source = id_text(docs, id_col, text_col)
-    bench = id_text(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")
-    n_blocks = max(1, -(-bench.count() // ITEMS_PER_BLOCK))
-    for block in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        items = [(i, words_of(t)) for i, t in sorted(((r["item_id"], bytes(r["text"] or b"")) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
-        items = [(i, ws) for i, ws in items if ws]
-        if not items:
-            continue
-        vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        n_docs, df = _document_frequency(source, vocab)
-        idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
-        yield Latent(items, vocab, idf, _basis(source, [[vocab[w] for w in ws] for _, ws in items], vocab, idf, len(items) + extra_rank))
+        out[got.column("w").to_numpy()] = np.array(got.column("y").combine_chunks().flatten()).reshape(-1, width)
+    if items:
+        add_products(np.concatenate(items), np.cumsum([0, *map(len, items)]), idf, test, out)
+    return out
+
+
+def latent_basis(hashed: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of A (BUCKETS x ``rank``) and its singular values, by a randomised SVD with one power step.
+
+    Range: Q of AtA T. Power step: Y = AtA Q. As AtA is about Y (Qt Y)^-1 Yt, the singular values of Y R^-1, Rt R = Qt Y, are those of A.
+    """
+    width = min(BUCKETS, rank + OVERSAMPLE)
+    test = np.random.default_rng(SEED).standard_normal((BUCKETS, width))
+    q, _ = np.linalg.qr(_products(hashed, items, idf, test))
+    y = _products(hashed, items, idf, q)
+    small = q.T @ y
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    keep = values > max(values.max(), 0) * 1e-6
+    half = vectors[:, keep] / np.sqrt(values[keep]) if keep.any() else np.zeros((width, 0))
+    u, s, _ = np.linalg.svd(y @ half, full_matrices=False)
+    return u[:, :rank], s[:rank]
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> list[tuple[int, np.ndarray]]:
+    rows = _texts(benchmark, item_col, item_text_col).toArrow()
+    texts = rows.column("text").combine_chunks()
+    if not rows.num_rows:
+        return []
+    h, counts = word_hashes(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts)
+    parts = np.split(h, np.cumsum(counts)[:-1])
+    order = sorted(range(len(parts)), key=lambda i: (rows.column("id")[i].as_py() is None, rows.column("id")[i].as_py() or 0, parts[i].tolist()))
+    return [(rows.column("id")[i].as_py(), parts[i]) for i in order if len(parts[i])]
+
+
+def latent_blocks(hashed: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> list[Latent]:
+    """The benchmark's blocks in one latent space."""
+    items = _items(benchmark, item_col, item_text_col)
+    if not items:
+        return []
+    known = np.unique(np.concatenate([w for _, w in items]))
+    n_docs, df, exact = _frequencies(hashed, known)
+    idf = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) + 1e-3
+    basis, _ = latent_basis(hashed, [w for _, w in items], idf, rank)
+    word = np.ascontiguousarray(idf[:, None] * basis, np.float32)
+    counts = dict(zip(known.tolist(), exact.tolist()))
+    return [Latent(items[i : i + ITEMS_PER_BLOCK], counts, word) for i in range(0, len(items), ITEMS_PER_BLOCK)]
 
 
 FOUND = "doc_id long, item_id long, cosine double, cover double, answer double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra_rank: int = EXTRA_RANK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, cover, answer): the items that each document gives away."""
-    source = id_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    out = spark.createDataFrame([], FOUND)
-    for block in latent_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, extra_rank):
-        model = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            latent = model.value
-            for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in latent.search(t.as_py() or b"")]
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "cover", "answer"])
-
-        out = out.unionByName(source.mapInArrow(run, FOUND))
-    return out
+    hashed = _hashed(docs, id_col, text_col)
+    blocks = [spark.sparkContext.broadcast(b) for b in latent_blocks(hashed, benchmark, item_col, item_text_col, rank)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for words, ends in _in_slices(*_unpack(batch.column(1))):
+                ids = batch.column(0).slice(at, len(ends) - 1)
+                at += len(ends) - 1
+                for block in blocks:
+                    rows = block.value.search(words, np.diff(ends))
+                    cols = list(zip(*rows)) or [[]] * 5
+                    out = [ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.float64(), pa.float64(), pa.float64())))]
+                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "item_id", "cosine", "cover", "answer"])
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra_rank: int = EXTRA_RANK) -> DataFrame:
-    """``docs`` without the rows that give away an item; all columns stay."""
-    out = docs
-    for block in latent_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, extra_rank):
-        model = docs.sparkSession.sparkContext.broadcast(block)
+    return hashed.mapInArrow(run, FOUND)
 
-        def make(model=model):
-            latent = model.value
-            return lambda text: not latent.search(text)
 
-        out = keep_rows(out, text_col, make)
-    return out
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
+    """``docs`` without the rows that give away an item; all columns stay."""
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(b) for b in latent_blocks(_hashed(docs, id_col, text_col), benchmark, item_col, item_text_col, rank)]
+    if not blocks:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).fill_null(b"")
+            h, counts = word_hashes(texts)
+            keep = np.ones(batch.num_rows, bool)
+            at = 0
+            for words, ends in _in_slices(h, np.concatenate([[0], np.cumsum(counts)])):
+                for block in blocks:
+                    keep[[at + t for t, *_ in block.value.search(words, np.diff(ends))]] = False
+                at += len(ends) - 1
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
