@@ -1,17 +1,19 @@
 """Operator 2, packing: token sequences of near-equal fill by Karmarkar-Karp multiway differencing.
 
-Whole sequences are cut off each document first; what remains (under one sequence) is cut into up to ``sequence / cut`` pieces, and the pieces of
-``docs_per_group`` documents are differenced into the least number of windows that can hold them: the count rises whenever the total exceeds the capacity. The few ids that a
-window then has too many are cut off and fill the room in others, so a group's padding is under one sequence.
+A document's whole sequences fill a window each, so there is nothing to difference in them; what remains (under one sequence) is cut into up to ``sequence / cut`` pieces. The pieces of
+``docs_per_group`` documents are differenced into windows: the two partial partitions with the largest spreads are merged again and again, one's fullest windows with the other's emptiest.
+The count of windows begins at the least that could hold the group and rises whenever differencing leaves one over its capacity. So that differencing can get windows
+nearly equal, a few documents of each group are cut finely (``GRAINS`` pieces a window, of ``GRAIN`` ids or so): the last merges level with them.
 A task packs what it reads, so nothing is shuffled, and a sequence never spans two tasks.
 
 Defined results: a null text counts as empty and holds the closing id alone; equal rows are packed each; an empty table gives no piece; an
-empty group none; texts of any length are encoded whole; extra columns play no part.
+empty group none; texts of any length are encoded whole; bytes that aren't UTF-8 count as the replacement character; extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import id_text
-from ._kk import kk_partition
+from ._kk import kk_states
 
 SEQUENCE = 2048
 CUT = 512
-DOCS_PER_GROUP = 256
+DOCS_PER_GROUP = 1024
+#: Fine pieces a window, and their length.
+GRAINS = 4
+GRAIN = 24
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids are remembered by a task; the memory starts anew when full.
@@ -66,14 +71,17 @@ class Encoder:
     def part(self, p: str) -> bytes:
         ids = self.parts.get(p)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize("".join([self.letters[b] for b in p.encode()]))], "<u4").tobytes()
+            s = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])  # printable ASCII is written as itself
+            ids = array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
             if len(self.parts) >= WORDS_KEPT:
                 self.parts = {}
             self.parts[p] = ids
         return ids
 
     def word(self, w: bytes) -> bytes:
-        s = w.decode()
+        if w.isalpha() and len(w) <= LONGEST_WORD_KEPT:  # ASCII letters: one part
+            return self.part(w.lower().decode())
+        s = w.decode(errors="replace")
         if len(w) <= LONGEST_WORD_KEPT and "<|" not in s and PLAIN.fullmatch(s):
             return b"".join([self.part(p) for p in PARTS.findall(s.lower())])
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -113,34 +121,37 @@ def cuts(n: int, sequence: int = SEQUENCE, cut: int = CUT) -> list[tuple[int, in
     return out
 
 
-def windows(sizes: np.ndarray, sequence: int = SEQUENCE) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(piece, start in it, length, window) and the number of windows, the least that can hold the pieces.
+def group_cuts(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT, grains: int = GRAINS, grain: int = GRAIN) -> list[tuple[int, int, int]]:
+    """(document, start, length) of the pieces of a group; the documents with the longest remainders are cut finely until there are enough fine pieces."""
+    rest = [n % sequence for n in lengths]
+    wanted = grains * -(-sum(rest) // sequence)
+    fine = set()
+    for d in sorted(range(len(lengths)), key=lambda d: (-rest[d], d)):
+        if wanted <= 0:
+            break
+        fine.add(d)
+        wanted -= -(-rest[d] // grain)
+    return [(d, at, m) for d, n in enumerate(lengths) for at, m in cuts(n, sequence, min(grain, cut) if d in fine else cut)]
 
-    Differencing gives near-equal windows. What one has over its capacity is cut off its last pieces and fills the room that others have.
+
+def windows(sizes: np.ndarray, sequence: int = SEQUENCE, grain: int = GRAIN) -> tuple[np.ndarray, int]:
+    """Window of each piece, and their number: the least from which on differencing fits all into their capacity.
+
+    Pieces over ``grain`` begin as partial partitions of as many pieces as there are windows, alike in size; fine ones as partitions of one piece.
     """
+    large = np.argsort(-sizes, kind="stable")
+    large = large[sizes[large] > grain]
+    fine = np.flatnonzero(sizes <= grain)
     k = max(1, -(-int(sizes.sum()) // sequence))
-    part, _ = kk_partition(sizes, k)
-    out: list[tuple[int, int, int, int]] = []
-    over: list[tuple[int, int, int]] = []
-    room = [sequence] * k
-    for i in np.argsort(part, kind="stable").tolist():
-        w, n = int(part[i]), int(sizes[i])
-        fits = min(n, room[w])
-        if fits:
-            out.append((i, 0, fits, w))
-            room[w] -= fits
-        if fits < n:
-            over.append((i, fits, n - fits))
-    w = 0
-    for i, at, n in over:
-        while n:
-            while not room[w]:
-                w += 1
-            fits = min(n, room[w])
-            out.append((i, at, fits, w))
-            room[w] -= fits
-            at, n = at + fits, n - fits
-    return out, k
+    while True:
+        members = [large[i : i + k] for i in range(0, len(large), k)] + [fine[i : i + 1] for i in range(len(fine))]
+        sums, slots = kk_states([sizes[m] for m in members], k)
+        if sums[0] <= sequence:
+            part = np.empty(len(sizes), np.int64)
+            for m, s in zip(members, slots):
+                part[m] = s
+            return part, k
+        k += 1
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -159,19 +170,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             nonlocal next_id
             rows: list[tuple[int, int, int, int, int]] = []  # document, start, length, sequence, offset
             rest: list[tuple[int, int, int]] = []
-            for d, (_, ids) in enumerate(group):
-                for start, length in cuts(len(ids) // 4, sequence, cut):
-                    if length == sequence:
-                        rows.append((d, start, length, next_id, 0))
-                        next_id += 1
-                    else:
-                        rest.append((d, start, length))
+            for d, start, length in group_cuts([len(ids) // 4 for _, ids in group], sequence, cut):
+                if length == sequence:
+                    rows.append((d, start, length, next_id, 0))
+                    next_id += 1
+                else:
+                    rest.append((d, start, length))
             if rest:
-                placed, k = windows(np.array([r[2] for r in rest], np.int64), sequence)
+                part, k = windows(np.array([r[2] for r in rest], np.int64), sequence)
                 filled = [0] * k
-                for i, at, length, w in placed:
-                    d, start, _ = rest[i]
-                    rows.append((d, start + at, length, next_id + w, filled[w]))
+                for (d, start, length), w in zip(rest, part.tolist()):
+                    rows.append((d, start, length, next_id + w, filled[w]))
                     filled[w] += length
                 next_id += k
             ids = [group[d][1][4 * s : 4 * (s + m)] for d, s, m, _, _ in rows]
