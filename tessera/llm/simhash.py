@@ -5,7 +5,8 @@ every choice of that many blocks is a key; pairs are verified, and kept for thei
 found between classes, with row counts, and copies are never paired.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; equal rows each give a row and count as near to each other;
-a null doc_id is a row like any other, but never a component's id unless it has no other; an empty table gives an empty result; extra columns play no part.
+a null doc_id is a row like any other, but never a component's id unless it has no other; an empty table gives an empty result; texts of any length are read whole; bytes that aren't
+UTF-8 are parts of words; extra columns, whatever their names, play no part (and stay in ``drop_near_duplicates``).
 """
 
 from __future__ import annotations
@@ -106,16 +107,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``, the one with the least id (null last); all columns stay.
 
-    The rows are written with a number of their own first, so repeated and null ids are told apart.
+    The rows are written with a number of their own first, each as one structure, so repeated and null ids are told apart and no column's name clashes with ours.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = materialize(near_duplicates(rows, "__row", text_col).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")), "groups")
-    linked = found.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
-    ids = rows.select("__row", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("__id"))
+    fields = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), fields.alias("doc")), "numbered")
+    texts = rows.select("row", F.col("doc").getField(text_col).alias("text"))
+    found = materialize(near_duplicates(texts, "row", "text").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
     # rows of groups of two and more; the hot ones among these are pre-aggregated by min
-    best = found.join(linked, "__group", "left_semi").join(ids, "__row").groupBy("__group").agg(F.min(F.struct("__id", "__row")).alias("b")).select(F.col("b.__row").alias("__row"))
-    keep = found.join(linked, "__group", "left_anti").select("__row").unionByName(best)
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    ids = rows.select("row", F.coalesce(F.col("doc").getField(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    best = found.join(ids, "row").groupBy("group").agg(F.min(F.struct("id", "row")).alias("b")).select(F.col("b.row").alias("row"))
+    return rows.join(best, "row", "left_semi").select("doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
