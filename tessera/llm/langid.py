@@ -4,28 +4,29 @@ A language is a distribution over hashed byte trigrams around letters. Expectati
 languages is the one with the best likelihood less ``penalty * (languages - 1) * ln(trigrams) / 2``, found by dropping the language with the least share as long as that helps.
 The prediction is the language with the largest share, and the score is that share.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0, as is any text when nothing could be learned; ties go to the first
-language by name; equal rows each give a row; an empty table gives an empty result; extra columns play no part.
+Defined results: a null text, or one without a letter (Unicode categories L*), is ``und`` with score 0, as is any text when nothing could be learned; ties go to the first
+language by name; equal rows each give a row; an empty table gives an empty result; texts of any length are read whole; bytes that aren't UTF-8 count as the replacement character where
+letters are looked for, and as they are in trigrams; extra columns, whatever their names, play no part (and stay in ``keep_known_language``).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc_mod, id_text, keep_rows
 
 BUCKETS = 1 << 15
-#: Profiles are fitted on about so many labelled documents, chosen by hash of the id.
-MAX_TRAIN_DOCS = 20_000
+#: Profiles are fitted on about so many labelled documents of each language, chosen by hash of the id; on all of a language that has fewer.
+MAX_TRAIN_PER_LANGUAGE = 5000
 #: Overlapping trigrams count a character three times.
 PENALTY = 3.0
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 _LETTERS = np.zeros(256, bool)
@@ -85,11 +86,14 @@ def classify(text: bytes, probs: np.ndarray, penalty: float = PENALTY) -> tuple[
     return int(langs[k]), float(min(1.0, share[k]))
 
 
-def train_profiles(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Language names and their (languages x BUCKETS) trigram probabilities, from about ``max_docs`` of the ``usable`` rows."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull())
-    n = rows.count()
-    part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_docs / max(n, 1))) + 1)
+def train_profiles(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """Language names and their (languages x BUCKETS) trigram probabilities, from about ``max_docs`` of the ``usable`` rows of each language: no language is lost, however rare."""
+    rows = docs.where(usable & F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).alias("draw")
+    )
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    below = docs.sparkSession.createDataFrame([(r["lang"], (1 << 20) if r["n"] <= max_docs else int((1 << 20) * max_docs / r["n"]) + 1) for r in sizes], "lang string, below long")
+    part = rows.join(F.broadcast(below), "lang").where("draw < below")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -102,7 +106,7 @@ def train_profiles(docs: DataFrame, usable: Column, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(k[at])], names=["lang", "bucket", "n"])
 
     counts = (
-        part.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
+        part.select("lang", "text")
         .mapInArrow(run, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -126,7 +130,7 @@ def predict_language(docs: DataFrame, names: list[str], probs: np.ndarray, id_co
             lang, score = [], []
             for t in batch.column(1):
                 text = t.as_py() or b""
-                k, s = classify(text, p, penalty) if names and LETTER.search(text.decode()) else (-1, 0.0)
+                k, s = classify(text, p, penalty) if names and LETTER.search(text.decode(errors="replace")) else (-1, 0.0)
                 lang.append(names[k] if k >= 0 else UNKNOWN)
                 score.append(s if k >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -142,7 +146,7 @@ def keep_known_language(docs: DataFrame, names: list[str], probs: np.ndarray, mi
         p = model.value
 
         def test(text: bytes) -> bool:
-            return bool(names) and LETTER.search(text.decode()) is not None and classify(text, p)[1] >= min_share
+            return bool(names) and LETTER.search(text.decode(errors="replace")) is not None and classify(text, p)[1] >= min_share
 
         return test
 
