@@ -1,11 +1,11 @@
 """Operator 9, toxicity: cumulative-link ordinal regression on sparse word features.
 
 A document's distinct words, and their 4- and 5-byte prefixes, are hashed features. P(grade > k) = sigmoid(w.x - threshold_k): the weights are shared by the ordered
-thresholds, and the expected severity is the sum of these probabilities. Grades come from a graded label column, or are made from a 0/1 label: toxic
-rows get grade 1 to 3 by terciles of how many of their words are strongly tied to the label.
+thresholds, and the expected severity is the sum of these probabilities. The label is 0 or 1; its grades are made from something that the features, sets of words, can't see: how much
+of a toxic text is toxic, by place. A text is cut into passages of ``PASSAGE`` words; the share of passages that hold a word strongly tied to the label gives grade 1 to 3, by terciles.
 
 Defined results: a null or empty text has no feature and the severity of the thresholds alone; a model without rows of both labels gives severity 0;
-equal rows each give a row; an empty table gives an empty result; extra columns play no part.
+equal rows each give a row; an empty table gives an empty result; texts of any length are scored whole, of whatever bytes; extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text
+from ._common import crc_mod, id_text
 from ._labelled import labelled_sample
 
 #: The regression is fitted on about so many documents of each label (twice as many at most).
@@ -26,6 +26,8 @@ MAX_TRAIN_PER_LABEL = 4000
 BUCKETS = 1 << 20
 N_SELECTED = 4000
 GRADES = 3
+#: Words of a passage, for grades.
+PASSAGE = 16
 WORDS_KEPT = 400_000
 
 #: Anything but letters parts words.
@@ -94,11 +96,8 @@ def best_cutoff(scores: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[i] + s[i + 1]) / 2)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray | None, toxic: np.ndarray, n_selected: int = N_SELECTED, rounds: int = 500, rate: float = 0.1, ridge: float = 2e-4) -> Model:
-    """``rows``: feature hashes of each document, a hash as often as distinct words have it; ``grades`` (0 up) or, where None, made from ``toxic`` (0/1)."""
-    size = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    feat = np.concatenate(rows)
+def select(rows: list[np.ndarray], toxic: np.ndarray, n_selected: int = N_SELECTED) -> tuple[np.ndarray, np.ndarray]:
+    """(features tied to the label either way, those strongly tied to toxic rows); ``rows``: feature hashes of each document."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     once = [np.unique(r) for r in rows]
     own, seen = np.repeat(toxic, [len(r) for r in once]), np.concatenate(once)
@@ -112,24 +111,49 @@ def fit(rows: list[np.ndarray], grades: np.ndarray | None, toxic: np.ndarray, n_
     z[df1 + df0 < 3] = 0
     pick = np.sort(np.argsort(-np.abs(z), kind="stable")[:n_selected])
     pick = pick[np.abs(z[pick]) > 2.5]
+    return pick, pick[np.log(p1 / p0)[pick] > 2]
+
+
+def flagged_share(text: bytes, strong: set[int]) -> float:
+    """Share of the text's passages that hold a word with a strong feature."""
+    words = text.translate(_TABLE).split()
+    tied = {w for w in set(words) if not strong.isdisjoint(features_of(w))}
+    passages = range(0, len(words), PASSAGE)
+    return sum(not tied.isdisjoint(words[i : i + PASSAGE]) for i in passages) / max(1, len(passages))
+
+
+def make_grades(share: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't toxic, 1 to 3 for those that are, by terciles of their shares."""
+    inside = share[toxic == 1]
+    q = np.quantile(inside, [1 / 3, 2 / 3]) if len(inside) else np.zeros(2)
+    return np.where(toxic == 1, 1 + (share > q[0]) + (share > q[1]), 0)
+
+
+def loss(w: np.ndarray, t: np.ndarray, doc: np.ndarray, col: np.ndarray, grades: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """(mean log-likelihood of the cumulative links less the ridge, its gradient over weights and thresholds)."""
+    n = len(grades)
+    y = (grades[:, None] > np.arange(len(t))[None, :]).astype(float)
+    s = np.bincount(doc, weights=w[col], minlength=n)
+    p = sigmoid(s[:, None] - t[None, :])
+    value = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum() / n - ridge * (w @ w) / 2
+    gap = y - p
+    return float(value), np.r_[np.bincount(col, weights=gap.sum(1)[doc], minlength=len(w)) / n - ridge * w, -gap.mean(0)]
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, toxic: np.ndarray, pick: np.ndarray, rounds: int = 500, rate: float = 0.1, ridge: float = 2e-4) -> Model:
+    """``rows``: feature hashes of each document, a hash as often as distinct words have it; ``grades``: 0 up; ``pick``: the features that count."""
+    size = np.array([len(r) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    feat = np.concatenate(rows)
     at = np.full(BUCKETS, -1)
     at[pick] = np.arange(len(pick))
     use = at[feat] >= 0
     doc, col = doc[use], at[feat[use]]
-    if grades is None:
-        strong = (np.log(p1 / p0)[pick] > 2)[col]
-        hits = np.bincount(doc[strong], minlength=len(rows))
-        inside = hits[toxic == 1]
-        q = np.quantile(inside, [1 / 3, 2 / 3]) if len(inside) else np.array([0, 0])
-        grades = np.where(toxic == 1, 1 + (hits > q[0]) + (hits > q[1]), 0)
     top = int(grades.max())
-    y = (grades[:, None] > np.arange(top)[None, :]).astype(float)
     w, t = np.zeros(len(pick)), np.linspace(1, 3, top)
     m, v = np.zeros(len(w) + top), np.zeros(len(w) + top)
     for r in range(1, rounds + 1):
-        s = np.bincount(doc, weights=w[col], minlength=len(rows))
-        gap = y - sigmoid(s[:, None] - t[None, :])
-        g = np.r_[np.bincount(col, weights=gap.sum(1)[doc], minlength=len(w)) / len(rows) - ridge * w, -gap.mean(0)]
+        _, g = loss(w, t, doc, col, grades, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         w, t = w + step[: len(w)], np.maximum.accumulate(t + step[len(w) :])
@@ -138,17 +162,27 @@ def fit(rows: list[np.ndarray], grades: np.ndarray | None, toxic: np.ndarray, n_
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None, max_per_label: int = MAX_TRAIN_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [np.array(sorted(f for w in words_of(t.as_py() or b"") for f in features_of(w)), np.int32).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "label"])
-
-    got = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, max_per_label, id_col, text_col).mapInArrow(run, "x binary, label int").toArrow()
-    rows = sorted(zip(got.column("x").to_pylist(), got.column("label").to_pylist()))
-    toxic = np.array([y for _, y in rows], float)
+    """The model of a bounded sample, or None if it lacks a label; features are selected first, and then the shares of flagged passages give the grades."""
+    sample = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, max_per_label, id_col, text_col)
+
+    def rows_of(strong: set[int] | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t.as_py() or b"" for t in batch.column(0)]
+                x = [np.array(sorted(f for w in words_of(t) for f in features_of(w)), np.int32).tobytes() for t in texts]
+                share = [0.0 if strong is None else flagged_share(t, strong) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1), pa.array(share, pa.float64())], names=["x", "label", "share"])
+
+        got = sample.mapInArrow(run, "x binary, label int, share double").toArrow()
+        rows = sorted(zip(got.column("x").to_pylist(), got.column("label").to_pylist(), got.column("share").to_pylist()))
+        return [np.frombuffer(x, np.int32) for x, _, _ in rows], np.array([y for _, y, _ in rows], float), np.array([s for _, _, s in rows])
+
+    rows, toxic, _ = rows_of(None)
     if not len(rows) or toxic.min() == toxic.max():
         return None
-    return fit([np.frombuffer(x, np.int32) for x, _ in rows], None, toxic)
+    pick, strong = select(rows, toxic)
+    rows, toxic, share = rows_of({int(f) for f in strong})
+    return fit(rows, make_grades(share, toxic), toxic, pick)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +204,8 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("__id", 5) != 0)
+    return score_toxicity(docs, model).withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}
