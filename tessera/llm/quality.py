@@ -4,7 +4,7 @@ A line's features, and those of the lines before and after it, make its score fo
 marginals, weighted by line length, give the document's quality. Training takes a document's label for each of its lines.
 
 Defined results: a null or empty text is one empty line; a model without training rows scores 0.5; equal rows each give a row; an empty table
-gives an empty result; extra columns play no part.
+gives an empty result; texts of any length are scored whole, of whatever bytes; extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -154,12 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_per_label: int = MAX_T
         return None
     chains, y, weights = [], [], []
     tags = got.column("label").to_pylist()
+    per_label = [tags.count(0), tags.count(1)]
     for x, label in sorted(zip(got.column("x").to_pylist(), tags)):
         f = np.frombuffer(x, np.float32).reshape(-1, 3 * N_FEATURES)
         for i in range(0, len(f), CHAIN):
             chains.append(f[i : i + CHAIN])
             y.append(label)
-            weights.append(1 / (len(f) * max(1, tags.count(label)) / len(tags)))
+            weights.append(1 / (len(f) * max(1, per_label[label]) / len(tags)))
     weights = np.array(weights)
     return fit(chains, np.array(y), weights / weights.mean())
 

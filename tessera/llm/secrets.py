@@ -5,7 +5,8 @@ A run of key characters that has both letters and digits and is long enough is a
 unless it is a known digest (hex of a usual length), a UUID, or part of a URL, path, mail address or dotted name.
 
 Defined results: a null text counts as empty (no spans); spans are in code points, end exclusive; spans at one start are ordered
-assign, access, hex, random; equal rows each give a row; an empty table gives an empty result; extra columns play no part.
+assign, access, hex, random; equal rows each give a row; an empty table gives an empty result; texts of any length are scanned whole; bytes
+that aren't UTF-8 count as the replacement character; extra columns, whatever their names, play no part (and stay in ``redact_secrets``).
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
-                text = text or ""
+                text = (text or b"").decode(errors="replace")
                 base = base_spans(text)
                 every = sorted(base + random_spans(text, base, vocabulary, max_chars_per_token))
                 kinds = [k for _, k, _ in every]
@@ -102,7 +103,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(SCHEMA)[1:7]))], names=SCHEMA.names[:7])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, spans string, base string, n_assign long, n_access long, n_hex long, n_random long"
     )
 
@@ -127,9 +128,13 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str = VO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else redact(t, vocabulary, max_chars_per_token) for t in batch.column(at).to_pylist()]
+            texts = []
+            for raw in batch.column(at).cast(pa.binary()).to_pylist():
+                text = (raw or b"").decode(errors="replace")
+                new = redact(text, vocabulary, max_chars_per_token)
+                texts.append(raw if new == text else new.encode())  # bytes that aren't UTF-8 stay where there is nothing to replace
             cols = batch.columns
-            cols[at] = pa.array(texts, pa.string())
+            cols[at] = pa.array(texts, pa.binary()).view(pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema.set(at, pa.field(text_col, pa.string())))
 
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

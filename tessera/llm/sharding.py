@@ -5,7 +5,8 @@ Groups of equal texts are bucketed by hash. Within a bucket, differencing turns
 is one differencing tree whose lower part runs in parallel. Slots come from counts by (shard, block of ids) and a rank within each.
 
 Defined results: null text has size ``overhead`` and is grouped with the empty text; equal rows are kept, each with its own slot;
-an empty table gives an empty result; ties are broken by the group's key; extra columns play no part.
+an empty table gives an empty result; ties are broken by the group's key; texts of any length, of whatever bytes, only count by their size and hashes; extra columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = materialize(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(id_col).cast("long").alias("doc_id"),
             (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -66,9 +68,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_co
     placed = placed.join(F.broadcast(last.where("slot is not null").select("slot", "shard")), "slot")  # n_shards rows
     classes = parts.join(placed.select("bucket", "part", "shard"), ["bucket", "part"]).select("key", "rows", "shard")
     classes = classes.unionByName(reserve.select("key", "rows").join(last.where("key is not null").select("key", "shard"), "key").select("key", "rows", "shard"))
-    put = join_by_class(rows, classes, "key", "rows", total).select("doc_id", "size", "text_crc32", "shard")
+    put = join_by_class(rows, classes, "key", "rows", total).select("row", "doc_id", "size", "text_crc32", "shard")
     n_blocks = max(1, -(-total // ROWS_PER_BLOCK))
-    put = materialize(put.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_blocks)).cast("int")), "shard-put")
+    put = materialize(put.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")), "shard-put")
     return _slots(put).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -118,7 +120,7 @@ def _slots(put: DataFrame) -> DataFrame:
     before = counts.select(
         "shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before")
     )
-    ranked = put.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")).cast("long") - 1)
+    ranked = put.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "row")).cast("long") - 1)
     return ranked.join(before, ["shard", "block"]).withColumn("slot", F.col("before") + F.col("rank"))
 
 
