@@ -151,7 +151,21 @@ def windows(sizes: np.ndarray, sequence: int = SEQUENCE, grain: int = GRAIN) ->
             for m, s in zip(members, slots):
                 part[m] = s
             return part, k
-        k += 1
+        k += max(1, -(-int(np.maximum(sums - sequence, 0).sum()) // sequence))
+
+
+def group_windows(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT, grains: int = GRAINS, grain: int = GRAIN) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
+    """(pieces of under a whole sequence and of whole ones, window of the former in order, number of windows); where pieces alike in size would leave much room, more of them are fine."""
+    while True:
+        pieces = group_cuts(lengths, sequence, cut, grains, grain)
+        sizes = np.array([m for _, _, m in pieces if m < sequence], np.int64)
+        if not len(sizes):
+            return pieces, np.empty(0, np.int64), 0
+        part, k = windows(sizes, sequence, grain)
+        least = -(-int(sizes.sum()) // sequence)
+        if k <= least + max(1, least // 200) or grains * grain >= sequence:
+            return pieces, part, k
+        grains *= 4
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -169,20 +183,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         def flush() -> pa.RecordBatch:
             nonlocal next_id
             rows: list[tuple[int, int, int, int, int]] = []  # document, start, length, sequence, offset
-            rest: list[tuple[int, int, int]] = []
-            for d, start, length in group_cuts([len(ids) // 4 for _, ids in group], sequence, cut):
+            pieces, part, k = group_windows([len(ids) // 4 for _, ids in group], sequence, cut)
+            filled = [0] * k
+            window = iter(part.tolist())
+            whole = next_id + k
+            for d, start, length in pieces:
                 if length == sequence:
-                    rows.append((d, start, length, next_id, 0))
-                    next_id += 1
+                    rows.append((d, start, length, whole, 0))
+                    whole += 1
                 else:
-                    rest.append((d, start, length))
-            if rest:
-                part, k = windows(np.array([r[2] for r in rest], np.int64), sequence)
-                filled = [0] * k
-                for (d, start, length), w in zip(rest, part.tolist()):
+                    w = next(window)
                     rows.append((d, start, length, next_id + w, filled[w]))
                     filled[w] += length
-                next_id += k
+            next_id = whole
             ids = [group[d][1][4 * s : 4 * (s + m)] for d, s, m, _, _ in rows]
             crc = [zlib.crc32(x) for x in ids]
             a = np.array(rows, np.int64).reshape(-1, 5)
