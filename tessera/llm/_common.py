@@ -64,16 +64,23 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def map_columns(docs: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through ``fn``, which keeps the columns; columns go by their place, whatever their names."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(fn, plain.schema).toDF(*docs.columns)
+
+
 def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[bytes], bool]]) -> DataFrame:
     """The rows of ``docs`` whose text (null: empty) passes the test that ``make`` builds in each task. All columns stay; nothing is shuffled."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            texts = batch.column(at).cast(pa.binary())
             yield batch.filter(pa.array([test(t.as_py() or b"") for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_columns(docs, run)
 
 
 def crc_mod(id_col: str, m: int):

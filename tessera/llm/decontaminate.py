@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import materialize
+from ._common import map_columns, materialize
 
 ITEMS_PER_BLOCK = 20_000
 #: Passages begin every ``STRIDE`` words.
@@ -44,7 +44,7 @@ COSINES_AT_ONCE = 1 << 22
 ROWS_AT_ONCE = 32
 #: Tasks that sum up the products; a row for each bucket.
 SUM_TASKS = 12
-MIN_COSINE = 0.9
+MIN_COSINE = 0.8
 MIN_COVER = 0.8
 MIN_COVER_WITH_ANSWER = 0.5
 MIN_COVER_LATENT = 0.4
@@ -436,10 +436,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     blocks = [spark.sparkContext.broadcast(b) for b in latent_blocks(_hashed(docs, id_col, text_col), benchmark, item_col, item_text_col, rank)]
     if not blocks:
         return docs
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).fill_null(b"")
+            texts = batch.column(place).cast(pa.binary()).fill_null(b"")
             h, counts = word_hashes(texts)
             keep = np.ones(batch.num_rows, bool)
             at = 0
@@ -449,7 +450,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 at += len(ends) - 1
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_columns(docs, run)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import map_columns
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 #: A cheap necessary condition of ASSIGN; most texts have no match.
 MAYBE_ASSIGN = re.compile(r"""(?i:passw|secret|token|api_?key)""", re.ASCII)
@@ -135,9 +137,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str = VO
                 texts.append(raw if new == text else new.encode())  # bytes that aren't UTF-8 stay where there is nothing to replace
             cols = batch.columns
             cols[at] = pa.array(texts, pa.binary()).view(pa.string())
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema.set(at, pa.field(text_col, pa.string())))
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema.set(at, pa.field(batch.schema.names[at], pa.string())))
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+    return map_columns(docs.withColumn(text_col, F.col(text_col).cast("string")), run)
 
 
 def sha256_hex(s: str) -> str:
