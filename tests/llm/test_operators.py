@@ -138,21 +138,24 @@ def test_word_by_word_ids_are_the_tokenizers(text):
         assert e.encode(t.encode()) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@pytest.mark.parametrize("lengths", [None, 700, 1500, 3])
-def test_packing_leaves_little_padding(lengths):
+@pytest.mark.parametrize("lengths,fill", [(None, 0.99), (700, 0.985), (1500, 0.99), (3, 0.7)])
+def test_packing_by_differencing_leaves_little_padding(lengths, fill):
     rng = np.random.default_rng(0)
-    docs = rng.integers(1, 4000, 256) if lengths is None else np.full(256, lengths)
-    sizes = np.array([m for n in docs for _, m in packing.cuts(int(n)) if m < 2048])
-    placed, k = packing.windows(sizes)
-    used = Counter()
-    parts = {}
-    for i, at, n, w in placed:
-        used[w] += n
-        parts.setdefault(i, []).append((at, n))
-    assert k == math.ceil(sizes.sum() / 2048) and max(used.values()) <= 2048 and set(used) <= set(range(k))
-    for i, p in parts.items():
-        assert [a for a, _ in sorted(p)] == list(np.cumsum([0] + [n for _, n in sorted(p)])[:-1]) and sum(n for _, n in p) == sizes[i]
-    assert len(placed) <= len(sizes) + 2 * k
+    docs = rng.integers(1, 4000, 1024) if lengths is None else np.full(1024, lengths)
+    pieces, part, k = packing.group_windows(docs.tolist())
+    covered = {}
+    for d, at, n in pieces:
+        covered.setdefault(d, []).append((at, n))
+    for d, p in covered.items():
+        assert [a for a, _ in sorted(p)] == list(np.cumsum([0] + [n for _, n in sorted(p)])[:-1]) and sum(n for _, n in p) == docs[d]
+    sizes = np.array([n for _, _, n in pieces if n < 2048])
+    used = np.bincount(part, weights=sizes, minlength=k)
+    assert len(used) == k and used.max() <= 2048 and used.sum() / (2048 * k) >= fill
+
+
+def test_the_window_count_rises_until_all_fits():
+    part, k = packing.windows(np.array([5, 5, 5, 5, 5]), 8, 1)
+    assert k == 5 and sorted(part) == [0, 1, 2, 3, 4]  # 25 would fill 4 windows of 8, but no two pieces share one
 
 
 @pytest.mark.parametrize("k", [1, 2, 5])
@@ -251,21 +254,51 @@ def brute_substring(rows, span):
 
 @pytest.mark.parametrize("span,gram", [(50, 10), (8, 3)])
 def test_substring_against_every_window(docs, empty, span, gram):
-    got = substring.dedup_substrings(docs, span, gram)
-    assert Counter(tuple(r) for r in got.collect()) == brute_substring(ROWS, span)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for group_rows in (50_000, 1):  # in trees, and parted to whole windows
+        got = substring.dedup_substrings(docs, span, gram, group_rows=group_rows).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept"])) for r in got) == brute_substring(ROWS, span)
+    by_id = {}
+    for i, t in ROWS:
+        by_id.setdefault(i, []).append(words(t))
+    for r in got:  # the spans are what the kept text lacks
+        gone = {p for s in r["spans"] for p in range(s["start"], s["end"])}
+        assert len(gone) == r["n_removed"] and any(" ".join(w for p, w in enumerate(ws) if p not in gone) == r["kept"] for ws in by_id[r["doc_id"]])
     assert substring.dedup_substrings(empty).count() == 0
 
 
+def test_suffixes_are_sorted_to_the_depth():
+    rng = np.random.default_rng(1)
+    for depth in (1, 3, 8, 50):
+        parts = [rng.integers(0, 2, n) for n in (1, 7, 60, 90)]
+        words_ = np.concatenate(parts)
+        left = np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+        rank = substring.sort_suffixes(words_, left, depth)
+        keys = [tuple(words_[i : i + min(depth, left[i])]) for i in range(len(words_))]
+        assert [sorted(set(keys)).index(k) for k in keys] == [sorted(set(rank)).index(r) for r in rank]
+
+
+def test_a_passage_in_many_documents(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join([prose(rng.randint(0, 40)), SHARED, prose(rng.randint(0, 40))])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group_rows in (50_000, 20):
+        got = substring.dedup_substrings(df, group_rows=group_rows).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got) == brute_substring(rows, 50)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 24)).astype(np.float32)
     x[5] = x[6]
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(901, None, 1), (902, [0.0] * 24, 1), (903, [float("nan")] * 24, 1), (904, [None] + [1.0] * 23, 1), (905, [1.0], 1), (20, x[20].tolist(), 2), (None, x[0].tolist(), 1)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(901, None, 1), (902, [0.0] * 24, 1), (903, [float("nan")] * 24, 1), (904, [None] + [1.0] * 23, 1), (905, [1.0], 1), (906, [float("inf")] * 24, 1), (None, x[0].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    df = df.selectExpr("*", "1 as chunk", "2 as block", "'s' as score", "3 as row", "4 as d", "5 as v", "6 as query_id", "7 as asks")
     from pyspark.sql import functions as F
 
     got = {}
     for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20, rows_per_block=300, queries_per_chunk=16).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got.get(r["query_id"], [])) + 1
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     recall = []
     for q in range(0, 900, 20):
@@ -279,6 +312,29 @@ def test_neighbours(spark):
     assert few.count() == 4 and neighbours.nearest(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_other_dimensions(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [0.0, 9.0]), (2, [1.0, 2.0, 3.0]), (20, [1.0, 1.0, 1.0]), (20, [0.0, 1.0, 0.0]), (3, [1e200, 1e200]), (4, [-1e200, 1.0]), (5, [1.0, 0.5])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == [(3, 1e200), (1, 1.0), (5, 1.0), (1, 0.0), (4, -1e200)]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 20) == [(1, 2, 2.0), (1, 2, 6.0), (2, 20, 1.0), (2, 20, 1.0)]
+
+
+def test_few_products_are_taken_in_a_whole_block():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(16384, 64))
+    ids = np.arange(len(x))
+    q = ids[::410]
+    found, taken = neighbours.search_block(q, q, x[q], ids, ids, x, neighbours.unit(x)[1].max(), 20)
+    recall = []
+    for i in q:
+        s = x @ x[i]
+        s[i] = -np.inf
+        recall.append(len(set(np.argsort(-s)[:20]) & set(found[found.query_id == i].vec_id)) / 20)
+    assert taken / len(q) / len(x) < 0.3 and np.mean(recall) >= 0.95
+
+
 def test_decontamination_catches_copies_and_paraphrases(spark):
     rng = random.Random(8)
     rare = lambda n: [f"q{rng.randrange(10**9)}" if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(n)]
@@ -319,51 +375,102 @@ def test_decontamination_finds_long_items(spark):
     assert {r["doc_id"]: r["cover"] for r in got} == {1: 1.0, 2: 600 / 700} and all(r["cosine"] > 0.5 for r in got)
 
 
-def test_latent_basis_is_fitted_on_all_passages(spark):
+def word_ids(text):
+    import pyarrow as pa
+
+    return decontaminate.word_hashes(pa.array([text.encode()], pa.binary()))[0]
+
+
+def test_latent_space_is_the_svd_of_all_passages(spark):
     rng = random.Random(9)
-    item = WORDS[:40]
-    texts = [" ".join(rng.sample(item[:20] if i % 9 else item[20:], 3) + ["out"] * 31 + item[i % 7 : i % 7 + 2]) for i in range(9000)]
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    m = next(decontaminate.latent_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench, extra_rank=2))
-    test = np.random.default_rng(decontaminate.SEED).standard_normal((len(m.vocab), 3 + 8))
-    rows = [text.encode().split()[i : i + 32] for text in texts for i in (0, 32)] + [[w.encode() for w in item[i : i + 32]] for i in (0, 32)]
-    a = np.zeros((len(rows), len(m.vocab)))
-    for i, ws in enumerate(rows):
-        for w in ws:
-            if w in m.vocab:
-                a[i, m.vocab[w]] += m.idf[m.vocab[w]]
-    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-    a[-2:] *= decontaminate.ITEM_WEIGHT**0.5
-    u = np.linalg.svd(a.T @ (a @ test), full_matrices=False)[0][:, :3]
-    got = m.word / m.idf[:, None]
-    assert np.abs(got @ got.T - u @ u.T).max() < 1e-3
+    topics = [[f"t{t}w{k}" for k in range(30)] for t in range(4)]
+    texts = [" ".join(rng.choices(topics[i % 4], k=rng.randint(10, 150))) for i in range(400)]
+    h = [word_ids(t) for t in texts]
+    hashed = decontaminate._hashed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id", "text")
+    known = np.unique(word_ids(" ".join(topics[0])))
+    n, df, exact = decontaminate._frequencies(hashed, known)
+    b = [decontaminate.bucket_of(w) for w in h]
+    assert n == 400 and (df == np.bincount(np.concatenate([np.unique(w) for w in b]), minlength=decontaminate.BUCKETS)).all()
+    assert exact.tolist() == [sum((w == k).any() for w in h) for k in known]
+    idf = np.log((1 + n) / (1 + df)) + 1e-3
+    used = np.unique(np.concatenate(b))
+    a = []
+    for w in [*b, decontaminate.bucket_of(known)]:
+        for i in range(0, len(w), decontaminate.PASSAGE):
+            v = np.bincount(np.searchsorted(used, w[i : i + decontaminate.PASSAGE]), minlength=len(used)) * idf[used]
+            a.append(v / np.linalg.norm(v))
+    _, want, vt = np.linalg.svd(np.array(a), full_matrices=False)
+    u, s = decontaminate.latent_basis(hashed, [known], idf, 4)
+    assert np.allclose(s, want[:4], rtol=0.02) and np.linalg.norm(vt[:4] @ u[used]) > 0.99 * 2  # the four topics
+
+
+def test_paraphrases_by_synonyms_are_found_in_the_latent_space(spark):
+    rng = random.Random(17)
+    topics = [[(f"t{t}a{k}", f"t{t}b{k}") for k in range(150)] for t in range(6)]  # two words for each thing
+    say = lambda t, n: " ".join(rng.choice(pair) for pair in rng.choices(topics[t], k=n))
+    docs = [(i, say(i % 6, 160)) for i in range(900)]
+    items, leaks = [], []
+    for i in range(60):
+        things = rng.sample(topics[i % 6], 28)
+        names = [f"n{i}x", f"n{i}y"]
+        items.append((i, " ".join([names[0], *(p[0] for p in things), names[1]])))
+        said = [p[0] if k % 5 in (1, 3) else p[1] for k, p in enumerate(things)]  # two words of five stay
+        leaks.append((1000 + i, " ".join([say((i + 1) % 6, 64), names[0], *said, names[1], say((i + 2) % 6, 64)])))
+    df = spark.createDataFrame(docs + leaks, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(df, bench, rank=8).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    planted = {(1000 + i, i) for i in range(60)}
+    assert len(found & planted) >= 45 and len(found - planted) == 0
+    # neither the checks of words nor the cosine of TF-IDF finds these
+    of = {(r["doc_id"], r["item_id"]): r for r in got}
+    assert all(of[p]["cover"] < decontaminate.MIN_COVER_WITH_ANSWER for p in found & planted)
+    for i in range(5):
+        a, b = (set(t.split()) for t in (items[i][1], " ".join(leaks[i][1].split()[64:94])))
+        assert len(a & b) / len(a) < 0.5
+
+
+def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, prose(80)) for i in range(30)] + [(90, prose(20) + " " + SHARED), (91, None), (None, SHARED)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, SHARED), (2, prose(30)), (3, SHARED[:90]), (4, None), (5, "xyz")], "item_id long, text string")
+    key = lambda r: (str(r[0]), *r[1:])
+    one = sorted((tuple(r) for r in decontaminate.contaminated(df, bench).collect()), key=key)
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", 1)
+    assert sorted((tuple(r) for r in decontaminate.contaminated(df, bench).collect()), key=key) == one and {(r[0], r[1]) for r in one} >= {(90, 1), (None, 1), (90, 3)}
 
 
 def test_candidates_hold_all_that_passes_the_checks():
     rng = random.Random(6)
-    common = [w.encode() for w in WORDS[:25]]
-    own = [b"w%d" % i for i in range(30)]
-    items = [(i, [rng.choice(common + own) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 5, 9, 15, 21, 33, 50, 90])]
-    vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-    idf = np.array([0.01 if w in common else 5.0 for w in sorted(vocab)])
-    m = decontaminate.Latent(items, vocab, idf, np.eye(len(vocab)))
+    common = WORDS[:25]
+    own = ["w%d" % i for i in range(30)]
+    items = [(i, word_ids(" ".join(rng.choice(common + own) for _ in range(n)))) for i, n in enumerate([1, 2, 3, 5, 9, 15, 21, 33, 50, 90])]
+    df = {int(h): 100 for h in word_ids(" ".join(common))} | {int(h): 1 for h in word_ids(" ".join(own))}
+    m = decontaminate.Latent(items, df, np.random.default_rng(1).normal(size=(decontaminate.BUCKETS, 8)).astype(np.float32))
+    text_of = {int(h): w for w in common + own for h in word_ids(w)}
     n_found = 0
-    for _ in range(150):
-        text = [rng.choice(common + [b"out"] * 60) for _ in range(rng.randint(1, 250))]
-        for _, ws in rng.sample(items, 2):
-            at = rng.randrange(len(text))
-            text[at:at] = [w for w in ws if rng.random() > rng.choice((0, 0.2, 0.5))]
-        words = [vocab.get(w, -1) for w in text]
-        expected = {}
-        for i, ws in enumerate(m.items):
-            pad = max(decontaminate.PASSAGE, len(ws))
-            for s in decontaminate.passage_starts(len(words)).tolist():
-                region = words[max(0, s - pad) : s + decontaminate.PASSAGE + pad]
-                cover, answer = decontaminate.common_subsequence(ws, region) / len(ws), len(m.answers[i].intersection(region)) / len(m.answers[i])
-                if cover >= decontaminate.MIN_COVER or cover >= decontaminate.MIN_COVER_WITH_ANSWER and answer >= decontaminate.MIN_ANSWER:
-                    expected[i] = max(expected.get(i, (0, 0)), (cover, answer))
-        assert {i: (cover, answer) for i, _, cover, answer in m.search(b" ".join(text))} == expected
-        n_found += len(expected)
+    for _ in range(60):
+        texts = []
+        for _ in range(3):
+            text = [rng.choice(common + ["out"] * 60) for _ in range(rng.randint(1, 250))]
+            for _, ws in rng.sample(items, 2):
+                at = rng.randrange(len(text))
+                text[at:at] = [text_of[int(w)] for w in ws if rng.random() > rng.choice((0, 0.2, 0.5))]
+            texts.append(word_ids(" ".join(text)))
+        want = {}
+        for t, h in enumerate(texts):
+            words_ = np.where(np.isin(h, m.known), np.searchsorted(m.known, h), -1).tolist()
+            z, _, starts = decontaminate.latent_passages(h, np.array([0, len(h)]), m.word)
+            for i, ws in enumerate(m.items):
+                pad = max(decontaminate.PASSAGE, len(ws))
+                for s, v in zip(starts.tolist(), z):
+                    region = words_[max(0, s - pad) : s + decontaminate.PASSAGE + pad]
+                    cover, answer = decontaminate.common_subsequence(ws, region) / len(ws), len(m.answers[i].intersection(region)) / len(m.answers[i])
+                    latent = (m.z[m.z_item == i] @ v).max() >= decontaminate.MIN_COSINE and cover >= decontaminate.MIN_COVER_LATENT and answer >= decontaminate.MIN_ANSWER_LATENT
+                    if cover >= decontaminate.MIN_COVER or cover >= decontaminate.MIN_COVER_WITH_ANSWER and answer >= decontaminate.MIN_ANSWER or latent:
+                        want[t, i] = max(want.get((t, i), (0, 0)), (cover, answer))
+        got = m.search(np.concatenate(texts), np.array([*map(len, texts)]))
+        assert {(t, i): (cover, answer) for t, i, _, cover, answer in got} == want
+        n_found += len(want)
     assert n_found > 200
 
 
@@ -432,9 +539,101 @@ def test_ordinal_grades():
         texts.append(" ".join(rng.sample(WORDS, 40) + [rng.choice(bad) for _ in range(k)]))
         toxic.append(int(k > 0))
     rows = [np.array(sorted(f for w in toxicity.words_of(t.encode()) for f in toxicity.features_of(w)), np.int32) for t in texts]
-    m = toxicity.fit(rows, None, np.array(toxic, float))
+    y = np.array(toxic, float)
+    pick, strong = toxicity.select(rows, y)
+    share = np.array([toxicity.flagged_share(t.encode(), {int(f) for f in strong}) for t in texts])
+    m = toxicity.fit(rows, toxicity.make_grades(share, y), y, pick)
     p = m.exceed(np.array([m.score(t.encode()) for t in texts]))
     assert (np.diff(p, axis=1) <= 1e-12).all() and (np.diff(m.thresholds) >= 0).all()
     assert ((np.array([m.score(t.encode()) for t in texts]) >= m.cutoff) == np.array(toxic, bool)).mean() > 0.99
     severity = [m.exceed(np.array([m.score((" ".join(bad[:k]) + " lom").encode())])).sum() for k in range(6)]
     assert severity == sorted(severity) and severity[5] > severity[1]
+
+
+def test_ordinal_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    n, k = 30, 5
+    doc, col = rng.integers(0, n, 80), rng.integers(0, k, 80)
+    grades = rng.integers(0, 4, n)
+    w, t = rng.normal(size=k), np.sort(rng.normal(size=3))
+    _, g = toxicity.loss(w, t, doc, col, grades, 0.1)
+    x = np.r_[w, t]
+    for i in range(len(x)):
+        up, down = x.copy(), x.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        d = (toxicity.loss(up[:k], up[k:], doc, col, grades, 0.1)[0] - toxicity.loss(down[:k], down[k:], doc, col, grades, 0.1)[0]) / 2e-5
+        assert abs(d - g[i]) < 1e-5
+
+
+def test_flagged_shares_and_grades():
+    strong = {f for w in (b"vile",) for f in toxicity.features_of(w)[:1]}
+    assert toxicity.flagged_share(b"", strong) == 0 and toxicity.flagged_share(b"fine " * 16 + b"vile " * 3, strong) == 0.5
+    assert toxicity.make_grades(np.array([0.1, 0.5, 0.9, 0.9]), np.array([1, 1, 1, 0])).tolist() == [1, 2, 3, 0]
+
+
+def test_a_chain_field_learns_what_maximises_its_likelihood():
+    rng = np.random.default_rng(8)
+    chains = [(rng.normal(size=(rng.integers(1, 6), 3 * quality.N_FEATURES)) * 0.5 + (0.2 if i % 2 else -0.2)).astype(np.float32) for i in range(60)]
+    y, ridge = np.arange(60) % 2, 0.05
+    w, t = quality.fit(chains, y, np.ones(60), rounds=2000, rate=0.02, ridge=ridge)
+
+    def value(w, t):
+        total = 0.0
+        for c, label in zip(chains, y):
+            s = c @ w
+            n = len(s)
+            z = [sum(s[i] for i in range(n) if z[i]) + sum(t[z[i], z[i + 1]] for i in range(n - 1)) for z in np.ndindex(*[2] * n)]
+            own = s.sum() * label + (n - 1) * t[label, label]
+            total += own - np.logaddexp.reduce(z)
+        return total / 60 - ridge * (w @ w + (t * t).sum()) / 2
+
+    best = value(w, t)
+    for i in range(12):
+        d, e = rng.normal(size=len(w)) * 0.02, rng.normal(size=(2, 2)) * 0.02
+        assert value(w + d, t + e) < best + 1e-6
+
+
+def test_mixtures_have_the_best_likelihood():
+    rng = np.random.default_rng(6)
+    probs = rng.dirichlet(np.ones(30), 2)
+    counts = rng.multinomial(400, 0.7 * probs[0] + 0.3 * probs[1]).astype(float)
+    share, ll = langid.mixture(counts, probs, rounds=500, tol=1e-9)
+    grid = np.linspace(0, 1, 2001)
+    values = [counts @ np.log(a * probs[0] + (1 - a) * probs[1] + 1e-300) for a in grid]
+    assert abs(grid[int(np.argmax(values))] - share[0]) < 2e-3 and ll >= max(values) - 1e-6
+
+
+def test_rare_languages_are_learned_and_signs_are_no_letters(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "der hund und die katze " * 3, "de") for i in range(400)] + [(1000 + i, "le chat est sur la table " * 3, "fr") for i in range(4)]
+    names, probs = langid.train_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), max_docs=10)
+    assert names == ["de", "fr"]
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "le chat"), (4, "Ⅷ")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(odd, names, probs).collect()} == {1: "und", 2: "und", 3: "fr", 4: "und"}
+
+
+def test_bytes_that_are_not_utf8(spark):
+    bad = spark.createDataFrame([(1, b"caf\xff token=abcdefgh12 und"), (2, b"\xff\xfe"), (3, b"ok")], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.scan_secrets(bad).collect()} == {1: 1, 2: 0, 3: 0}
+    from pyspark.sql import functions as F
+
+    got = secrets.redact_secrets(bad).select("doc_id", F.col("text").cast("binary").alias("b")).collect()
+    assert {r["doc_id"]: bytes(r["b"]) for r in got} == {1: "caf\ufffd [SECRET] und".encode(), 2: b"\xff\xfe", 3: b"ok"}
+    names, probs = langid.train_profiles(spark.createDataFrame([(1, "und die", "de")], "doc_id long, text string, lang string"), F.lit(True))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(bad, names, probs).collect()} == {1: "de", 2: "und", 3: "de"}
+    assert sum(r["length"] for r in packing.pack(bad).select("length").collect()) > 3
+    for out in (simhash.near_duplicates(bad), substring.dedup_substrings(bad).select("doc_id", "n_words"), sharding.shard_by_bytes(bad), quality.score_quality(bad, None), toxicity.score_toxicity(bad, None)):
+        assert len(out.collect()) == 3
+    bench = spark.createDataFrame([(1, "ok")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.contaminated(bad, bench).collect()] == [3]
+
+
+def test_no_internal_name_clashes(spark):
+    names = ["__row", "__group", "__id", "__hot", "row", "doc", "th", "keys", "words", "a.b"]
+    df = spark.createDataFrame([(1, "a b c d", *names), (2, "a b c d", *names), (3, "xx yy zz", *names)], ["doc_id", "text", *names])
+    for out in (simhash.drop_near_duplicates(df), decontaminate.drop_contaminated(df, spark.createDataFrame([(1, "never there")], "item_id long, text string")), secrets.redact_secrets(df)):
+        rows = out.collect()
+        assert out.columns == df.columns and all(list(r)[2:] == names for r in rows) and {r[0] for r in rows} <= {1, 2, 3}
+    assert {r[0] for r in simhash.drop_near_duplicates(df).collect()} == {1, 3}
