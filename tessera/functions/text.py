@@ -46,6 +46,41 @@ def ngrams(toks: Column | str, low: int, high: int) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def joined_ngrams(toks: Column | str, n: int, sep: str) -> Column:
+    """Contiguous runs of exactly ``n`` tokens as strings: n shifted copies of the array, put together place by place."""
+    t = F.col(toks) if isinstance(toks, str) else toks
+    out = t
+    for k in range(1, n):
+        fewer = F.greatest(F.size(t) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), fewer), F.slice(t, F.lit(k + 1), fewer), lambda g, x: F.concat(g, F.lit(sep), x))
+    return out
+
+
+def token_ids(toks: Column | str, vocabulary: dict[str, int]) -> Column:
+    """Ids of tokens, -1 for one that the vocabulary lacks."""
+    t = F.col(toks) if isinstance(toks, str) else toks
+    known = F.create_map(*(F.lit(x) for kv in vocabulary.items() for x in kv)) if vocabulary else F.lit(None).cast("map<string,int>")
+    return F.transform(t, lambda x: F.coalesce(F.element_at(known, x), F.lit(-1)))
+
+
+_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+_BARE = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def strip_accents(text: Column | str) -> Column:
+    """Letters of Latin-1 without their marks; combining marks that stand alone go."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.translate(t, _MARKED, _BARE), r"[\u0300-\u036f]", "")
+
+
+def parse_list(text: Column | str, sep: str = ",") -> Column:
+    """The parts of a list written as text, brackets and quotes around them left out: ``"['a', 'b']"`` gives a and b."""
+    t = F.col(text) if isinstance(text, str) else text
+    inner = F.regexp_replace(F.trim(t), r"^[\[(]|[\])]$", "")
+    parts = F.transform(F.split(inner, sep, -1), lambda x: F.regexp_replace(F.trim(x), r"^(['\"])(.*)\1$", "$2"))
+    return F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(parts)
+
+
 def positioned_ngrams(toks: Column | str, low: int, high: int) -> Column:
     """As ``ngrams``, each with its place; places start at 0 for every length."""
     t = F.col(toks) if isinstance(toks, str) else toks
@@ -55,7 +90,7 @@ def positioned_ngrams(toks: Column | str, low: int, high: int) -> Column:
 
 def word_ngrams_in_words(text: Column | str, low: int, high: int) -> Column:
     """n-grams of code points that stay within a padded word."""
-    return F.flatten(F.transform(padded_words(text), lambda w: ngrams(w, low, high)))
+    return F.flatten(F.transform(padded_words(F.col(text) if isinstance(text, str) else text), lambda w: ngrams(w, low, high)))
 
 
 def clean_query(text: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.matrix import EPS, hstack, normalize_rows
 from ..operators.numbering import number_rows
+from ..scratch import settle
 
 
 @dataclass(frozen=True)
@@ -32,35 +33,48 @@ class Options:
 
 
 SEP = "\u0001"
+#: Features that are broadcast to filter n-grams before they are counted; more of them are joined by a shuffle.
+BROADCAST_FEATURES = 1_000_000
 
 
-def gram_counts(corpus: DataFrame, o: Options, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(r, g, len, n): how often each n-gram comes in each document; ``g``: its tokens, joined."""
+def grams_of(corpus: DataFrame, o: Options, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """(r, g, len): each document's n-grams (g: tokens, joined), repeats included or ``once``; told apart as strings, inside the row."""
+    r = F.col(id_col).cast("long").alias("r")
+    low, high = o.ngram_range
     if o.tokenizer == T.CHAR_IN_WORD:
-        grams = T.word_ngrams_in_words(text_col, *o.ngram_range)
+        corpus = corpus.select(r, F.col(text_col).alias("toks"))
+        strings = {n: F.transform(T.word_ngrams_in_words("toks", n, n), lambda a: F.array_join(a, SEP)) for n in range(low, high + 1)}
     else:
-        corpus = corpus.select(id_col, T.tokens(text_col, o.tokenizer, o.max_length).alias("toks"))
-        if o.ngram_range == (1, 1):
-            rows = corpus.select(F.col(id_col).cast("long").alias("r"), F.explode("toks").alias("g"))
-            return rows.groupBy("r", "g", F.lit(1).alias("len")).agg(F.count("*").alias("n"))
-        grams = T.ngrams("toks", *o.ngram_range)
-    rows = corpus.select(F.col(id_col).cast("long").alias("r"), F.explode(grams).alias("a"))
-    return rows.groupBy("r", F.array_join("a", SEP).alias("g"), F.size("a").alias("len")).agg(F.count("*").alias("n"))
+        corpus = corpus.select(r, T.tokens(text_col, o.tokenizer, o.max_length).alias("toks"))
+        strings = {n: T.joined_ngrams("toks", n, SEP) for n in range(low, high + 1)}
+    if once:
+        strings = {n: F.array_distinct(s) for n, s in strings.items()}
+    if low == high:
+        return corpus.select("r", F.explode(strings[low]).alias("g")).withColumn("len", F.lit(low))
+    with_len = lambda n: lambda g: F.struct(g.alias("g"), F.lit(n).alias("len"))
+    parts = F.concat(*(F.transform(s, with_len(n)) for n, s in strings.items()))
+    return corpus.select("r", F.explode(parts).alias("x")).select("r", "x.g", "x.len")
+
+
+def gram_counts(corpus: DataFrame, o: Options, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(r, g, len, n): how often each n-gram comes in each document."""
+    return grams_of(corpus, o, id_col, text_col).groupBy("r", "g", "len").agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
 class Tfidf:
-    """``features``: (g, c, idf)."""
+    """``features``: (g, len, c, df, idf)."""
 
     options: Options
     features: DataFrame
+    n_features: int | None = None
 
     @staticmethod
     def fit(corpus: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> Tfidf:
         o = options
         n_docs = corpus.count()
-        counts = gram_counts(corpus, o, id_col, text_col)
-        df = counts.groupBy("g", "len").agg(F.count("*").alias("df"))
+        # a document counts once for each n-gram, told apart inside its row; sums are formed before the shuffle
+        df = grams_of(corpus, o, id_col, text_col, once=True).groupBy("g", "len").agg(F.count("*").alias("df"))
         lo = max(o.min_df_cnt, round(o.min_df_ratio * n_docs))
         hi = round(o.max_df_ratio * n_docs)
         hi = min(hi, o.max_df_cnt) if o.max_df_cnt > 0 else hi
@@ -71,14 +85,22 @@ class Tfidf:
             df = df.orderBy(*first).limit(o.max_feature)
         numbered = number_rows(df, order, "c")
         idf = F.greatest(F.log(n_docs / (F.col("df") + (1 if o.smooth_idf else 0))), F.lit(0.0)) + (1.0 if o.add_one_idf else 0.0) if o.use_idf else F.lit(1.0)
-        return Tfidf(o, numbered.select("g", "c", "df", idf.alias("idf")))
+        features = settle(numbered.select("g", "len", "c", "df", idf.alias("idf")), "features")
+        return Tfidf(o, features, features.count())
+
+    def _counts(self, corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(r, c, n, idf): n-grams that are no feature go before anything is shuffled."""
+        each = grams_of(corpus, self.options, id_col, text_col)
+        n = self.features.count() if self.n_features is None else self.n_features
+        features = self.features.select("g", "len", "c", "idf")
+        known = each.join(F.broadcast(features) if n <= BROADCAST_FEATURES else features, ["g", "len"])
+        return known.groupBy("r", "c").agg(F.count("*").alias("n"), F.first("idf").alias("idf"))
 
     def transform(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(r, c, v): tf (1 if binary, ln + 1 if sublinear) times idf, rows normalized; unknown n-grams form no feature."""
         o = self.options
-        counts = gram_counts(corpus, o, id_col, text_col)
         tf = F.lit(1.0) if o.binary else F.log("n") + 1 if o.sublinear else F.col("n").cast("double")
-        m = counts.join(self.features, "g").select("r", "c", (tf * F.col("idf")).alias("v"))
+        m = self._counts(corpus, id_col, text_col).select("r", "c", (tf * F.col("idf")).alias("v"))
         return normalize_rows(m, o.norm, EPS) if o.norm else m
 
     def save(self, path: str) -> None:
@@ -103,14 +125,19 @@ def fit_stacked(corpus: DataFrame, options: list[Options], id_col: str = "doc_id
 
 def transform_stacked(models: list[Tfidf], corpus: DataFrame, norm: str | None = "l2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Side by side, then normalized again."""
-    widths = [m.features.count() for m in models]
+    widths = [m.features.count() if m.n_features is None else m.n_features for m in models]
     m = hstack([m.transform(corpus, id_col, text_col) for m in models], widths)
     return normalize_rows(m, norm, EPS) if norm else m
 
 
 def word_regex_tfidf(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", strip_accents: bool = False) -> DataFrame:
-    """(r, c, g, v): lower-cased words of two or more characters, idf ln((1 + n)/(1 + df)) + 1, l2 rows; columns in byte order."""
+    """(r, c, g, v): lower-cased words of two or more characters, idf ln((1 + n)/(1 + df)) + 1, l2 rows; columns in byte order.
+
+    With ``strip_accents``, letters of the Latin ranges lose their marks before words are formed.
+    """
     n = corpus.count()
+    if strip_accents:
+        corpus = corpus.select(id_col, T.strip_accents(F.col(text_col)).alias(text_col))
     words = F.explode(T.sklearn_words(text_col))
     counts = corpus.select(F.col(id_col).cast("long").alias("r"), words.alias("g")).groupBy("r", "g").agg(F.count("*").alias("n"))
     df = number_rows(counts.groupBy("g").agg(F.count("*").alias("df")), ["g"], "c")
@@ -142,4 +169,48 @@ def position_weighted(corpus: DataFrame, model: Tfidf, id_col: str = "doc_id", t
     return normalize_rows(m)
 
 
+def query_only_features(df: DataFrame, query_model: Tfidf, id_col: str = "id", query: str = "query") -> DataFrame:
+    """Features of the query alone; a prefix, where there is one, plays no part."""
+    return query_model.transform(df, id_col, query)
+
+
+#: name -> fit(corpus, ...): models with ``transform``; the hashing vectorizer has nothing to fit.
 VECTORIZERS = {"tfidf": Tfidf.fit}
+
+
+def vectorizer(name: str):
+    """The registered vectorizer of that name."""
+    if name not in VECTORIZERS:
+        raise ValueError(f"unknown vectorizer: {name}")
+    return VECTORIZERS[name]
+
+
+class Stacked:
+    """Models side by side as one vectorizer."""
+
+    def __init__(self, models: list[Tfidf], norm: str | None = "l2"):
+        self.models, self.norm = models, norm
+
+    @staticmethod
+    def fit(corpus: DataFrame, options: list[Options], id_col: str = "doc_id", text_col: str = "text", norm: str | None = "l2") -> Stacked:
+        return Stacked(fit_stacked(corpus, options, id_col, text_col), norm)
+
+    def transform(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return transform_stacked(self.models, corpus, self.norm, id_col, text_col)
+
+
+class Hashing:
+    """Nothing is learned; kept so that it can take a fitted model's place."""
+
+    def __init__(self, **options):
+        self.options = options
+
+    @staticmethod
+    def fit(corpus: DataFrame | None = None, **options) -> Hashing:
+        return Hashing(**options)
+
+    def transform(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return hashing(corpus, id_col=id_col, text_col=text_col, **self.options)
+
+
+VECTORIZERS |= {"stacked": Stacked.fit, "hashing": Hashing.fit}
