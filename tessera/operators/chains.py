@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import dot
 from ..scratch import settle
 from .matrix import add, matmul, topk_rows, transpose
+from .numbering import number_rows
 
 
 def layer_of(chain: DataFrame, layer: int) -> DataFrame:
@@ -123,8 +124,6 @@ def concatenate(top: DataFrame, bottom: DataFrame) -> DataFrame:
 
 def prefix_chain(labels: DataFrame, depth: int) -> DataFrame:
     """Chain over label strings (id, name): nodes are the distinct prefixes of 1 to ``depth`` characters in byte order; labels are the last layer."""
-    from .numbering import number_rows
-
     parts, above = [], None
     for d in range(1, depth + 1):
         pre = labels.select(F.col("name").substr(1, d).alias("p")).distinct()
@@ -159,73 +158,112 @@ def sample_rate(layer: int, depth: int, least: float, most: float, warmup: float
     return most if depth - 1 <= warm else least + (most - least) * (layer - warm) / (depth - 1 - warm)
 
 
+#: Nodes whose centres or bounds are broadcast; where there are more, each has few elements, and a shuffled join has no hot key.
+BROADCAST_NODES = 20_000
+
+
+def _with_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` joined with a table of a row a node."""
+    nodes = settle(nodes, "nodes")
+    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node")
+
+
+def _halves(scored: DataFrame, weighted: bool) -> DataFrame:
+    """``side`` 0 or 1 for each element of (id, w, node, score, ...): the half of its node's weight, by score and id, that its middle lies in.
+
+    The order runs over all nodes at once, by range partitions and their sums; no node is brought to one task.
+    """
+    placed = number_rows(scored, ["node", "score", "id"], "at", weight="w" if weighted else None)
+    bounds = placed.groupBy("node").agg(F.min("at").alias("start"), F.sum("w").alias("total"))
+    return _with_nodes(placed, bounds).withColumn("side", F.when(F.col("at") - F.col("start") + F.col("w") / 2 < F.col("total") / 2, 0).otherwise(1)).drop("at", "start", "total", "score")
+
+
 def balanced_kmeans(
     vectors: DataFrame, max_leaf_size: int = 100, max_iter: int = 20, spherical: bool = True, seed: int = 0, id_col: str = "id", vec_col: str = "vec",
-    min_sample_rate: float = 1.0, max_sample_rate: float = 1.0, warmup_ratio: float = 1.0,
+    min_sample_rate: float = 1.0, max_sample_rate: float = 1.0, warmup_ratio: float = 1.0, start: DataFrame | None = None, weight: DataFrame | None = None,
 ) -> DataFrame:
     """Codes (child, parent) of a balanced hierarchical 2-means; child: the element's id, parent: its leaf.
 
     All nodes of a layer are split together. Each step sums the halves' vectors, scores every element by its product with the difference of its node's two
     centres, and cuts each node at the median: the lower ``floor(n / 2)`` go left, ties by id. A step's result is written, so lineage stays short.
+
+    ``start`` (id, node): clusters to begin with, which are never mixed; ``weight`` (id, w): what an element counts for. With either, only nodes over ``max_leaf_size`` are split, until none is
+    left but those of one element.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
-    n = rows.count()
-    if max_leaf_size >= n:
-        return rows.select(F.col("id").alias("child"), F.lit(0).cast("long").alias("parent"))
-    depth = max(1, math.ceil(math.log2(n / max_leaf_size)))
-    dim = rows.select(F.size("vec")).first()[0]
-    state = settle(rows.withColumn("node", F.lit(0).cast("long")), "kmeans")
-    half = Window.partitionBy("node").orderBy("score", "id")
-
-    def cut(df: DataFrame, score: Column) -> DataFrame:
-        n_node = F.count("*").over(Window.partitionBy("node"))
-        return df.withColumn("score", score).withColumn("side", F.when(F.row_number().over(half) <= F.floor(n_node / 2), 0).otherwise(1)).drop("score")
-
-    for layer in range(depth):
-        rate = sample_rate(layer, depth, min_sample_rate, max_sample_rate, warmup_ratio)
+    rows = rows.join(weight.select("id", F.col("w").cast("long").alias("w")), "id") if weight is not None else rows.withColumn("w", F.lit(1).cast("long"))
+    rows = rows.join(start.select("id", F.col("node").cast("long").alias("node")), "id") if start is not None else rows.withColumn("node", F.lit(0).cast("long"))
+    state = settle(rows, "kmeans")
+    as_needed = start is not None or weight is not None
+    n = state.count()
+    if n == 0 or not as_needed and max_leaf_size >= n:
+        return state.select(F.col("id").alias("child"), F.col("node").alias("parent"))
+    dim = state.select(F.size("vec")).first()[0]
+    largest = state.groupBy("node").agg(F.sum("w").alias("s")).agg(F.max("s")).first()[0]
+    depth = max(1, math.ceil(math.log2(max(2, largest) / max_leaf_size)))
+    layer = 0
+    while layer < depth or as_needed:
+        rate = sample_rate(min(layer, depth - 1), depth, min_sample_rate, max_sample_rate, warmup_ratio)
+        idle = None
+        active = state
+        if as_needed:
+            sizes = settle(state.groupBy("node").agg((~((F.sum("w") > max_leaf_size) & (F.count("*") > 1))).alias("done")), "nodes")
+            if sizes.where(~F.col("done")).isEmpty():
+                break
+            both = _with_nodes(state, sizes)
+            active, idle = settle(both.where(~F.col("done")).drop("done"), "kmeans"), both.where("done").drop("done")
         # two elements to begin with: one by seeded hash, and the one least like it
-        a = state.groupBy("node").agg(F.min_by("vec", F.struct(F.xxhash64("id", F.lit(seed + layer)), "id")).alias("a"))
-        b = state.join(a, "node").groupBy("node").agg(F.min_by("vec", F.struct(dot("vec", "a"), "id")).alias("b"))
-        begun = state.join(a, "node").join(b, "node")
-        state = settle(cut(begun, dot("vec", F.zip_with("b", "a", lambda x, y: x - y))).select("id", "vec", "node", "side"), "kmeans")
+        a = active.groupBy("node").agg(F.min_by("vec", F.struct(F.xxhash64("id", F.lit(seed + layer)), "id")).alias("a"))
+        begun = settle(_with_nodes(active, a), "kmeans")
+        b = begun.groupBy("node").agg(F.min_by("vec", F.struct(dot("vec", "a"), "id")).alias("b"))
+        begun = _with_nodes(begun, b).withColumn("score", dot("vec", F.zip_with("b", "a", lambda x, y: x - y))).drop("a", "b")
+        now = settle(_halves(begun, weight is not None).select("id", "vec", "w", "node", "side"), "kmeans")
         for _ in range(max_iter):
-            fitted = state if rate >= 1 else state.where(F.pmod(F.xxhash64("id", F.lit(seed + layer)), F.lit(1 << 20)) < int(rate * (1 << 20)))
-            sums = fitted.groupBy("node", "side").agg(F.array(*(F.sum(F.col("vec")[i]) for i in range(dim))).alias("s"), F.count("*").alias("k"))
+            fitted = now if rate >= 1 else now.where(F.pmod(F.xxhash64("id", F.lit(seed + layer)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+            sums = fitted.groupBy("node", "side").agg(F.array(*(F.sum(F.col("vec")[i]) for i in range(dim))).alias("s"), F.sum("w").alias("k"))
             length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
             size = F.when(length > 0, length).otherwise(F.lit(1.0)) if spherical else F.col("k").cast("double")
             centres = sums.withColumn("s", F.transform("s", lambda x: x / size)).groupBy("node").agg(F.max(F.when(F.col("side") == 1, F.col("s"))).alias("hi"), F.max(F.when(F.col("side") == 0, F.col("s"))).alias("lo"))
             zero = F.array_repeat(F.lit(0.0), dim)
             gap = F.zip_with(F.coalesce("hi", zero), F.coalesce("lo", zero), lambda a, b: a - b)
-            scored = state.join(centres, "node").withColumn("gap", gap)
+            scored = _with_nodes(now, centres.select("node", gap.alias("gap")))
             score = F.aggregate(F.zip_with("vec", "gap", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-            new = settle(cut(scored.withColumnRenamed("side", "old"), score).select("id", "vec", "node", "old", "side"), "kmeans")
-            moved = new.where("old <> side").limit(1).count()
-            state = new.drop("old")
+            new = settle(_halves(scored.withColumnRenamed("side", "old").withColumn("score", score).drop("gap"), weight is not None).select("id", "vec", "w", "node", "old", "side"), "kmeans")
+            moved = not new.where("old <> side").isEmpty()
+            now = new.drop("old")
             if not moved:
                 break
-        state = settle(state.select("id", "vec", (F.col("node") * 2 + F.col("side")).alias("node")), "kmeans")
+        state = now.select("id", "vec", "w", (F.col("node") * 2 + F.col("side")).alias("node"))
+        if idle is not None:
+            state = state.unionByName(idle.select("id", "vec", "w", (F.col("node") * 2).alias("node")))
+        state = settle(state, "kmeans")
+        layer += 1
     return state.select(F.col("id").alias("child"), F.col("node").alias("parent"))
 
 
 def must_link_kmeans(vectors: DataFrame, group: DataFrame, max_leaf_size: int = 100, **kw) -> DataFrame:
-    """As ``balanced_kmeans`` over groups (id, group) whose members stay together: a group counts as the sum of its vectors."""
+    """As ``balanced_kmeans`` over groups (id, group) whose members stay together: a group is the sum of its vectors and weighs as many as it has members, so leaves are balanced in elements."""
     dim = vectors.select(F.size("vec")).first()[0]
     joined = vectors.join(group, "id")
-    groups = joined.groupBy("group").agg(F.array(*(F.sum(F.col("vec")[i]) for i in range(dim))).alias("vec")).select(F.col("group").alias("id"), "vec")
-    codes = balanced_kmeans(groups, max_leaf_size, **kw)
+    groups = settle(joined.groupBy("group").agg(F.array(*(F.sum(F.col("vec")[i]) for i in range(dim))).alias("vec"), F.count("*").alias("w")).withColumnRenamed("group", "id"), "groups")
+    codes = balanced_kmeans(groups.select("id", "vec"), max_leaf_size, weight=groups.select("id", "w"), **kw)
     return group.join(codes.select(F.col("child").alias("group"), "parent"), "group").select(F.col("id").alias("child"), "parent")
 
 
+def pre_clustered_kmeans(vectors: DataFrame, clusters: DataFrame, max_leaf_size: int = 100, **kw) -> DataFrame:
+    """Codes (child, parent) under given clusters (id, node): each is split on its own until its leaves are small enough. Parents are dense ids, in the order of clusters."""
+    codes = settle(balanced_kmeans(vectors, max_leaf_size, start=clusters, **kw), "codes")
+    both = codes.join(clusters.select(F.col("id").alias("child"), F.col("node").alias("cluster")), "child")
+    leaves = number_rows(both.select("cluster", "parent").distinct(), ["cluster", "parent"], "leaf")
+    return both.join(leaves, ["cluster", "parent"]).select("child", F.col("leaf").alias("parent"), "cluster")
+
+
 def hybrid_chain(labels: DataFrame, vectors: DataFrame, depth: int, max_leaf_size: int, **kw) -> DataFrame:
-    """Prefix chain on top; under it each prefix's labels clustered together with those of its own prefix only (each prefix is split at its own median)."""
+    """Prefix chain on top; under it each prefix's labels, clustered among themselves: a prefix with more than ``max_leaf_size`` labels is split at its own medians."""
     top = prefix_chain(labels, depth)
     n_top = depth_of(top)
     leaf = layer_of(top, n_top - 1)
-    codes = balanced_kmeans(vectors, max_leaf_size, **kw).select("child", F.col("parent").alias("code"))
-    both = leaf.join(codes, "child")
-    from .numbering import number_rows
-
-    nodes = number_rows(both.select("parent", "code").distinct(), ["parent", "code"], "node")
-    mid = nodes.select(F.lit(n_top - 1).alias("layer"), F.col("node").alias("child"), "parent")
-    last = both.join(nodes, ["parent", "code"]).select(F.lit(n_top).alias("layer"), "child", F.col("node").alias("parent"))
+    codes = settle(pre_clustered_kmeans(vectors, leaf.select(F.col("child").alias("id"), F.col("parent").alias("node")), max_leaf_size, **kw), "codes")
+    mid = codes.select(F.lit(n_top - 1).alias("layer"), F.col("parent").alias("child"), F.col("cluster").alias("parent")).distinct()
+    last = codes.select(F.lit(n_top).alias("layer"), "child", "parent")
     return top.where(F.col("layer") < n_top - 1).unionByName(mid).unionByName(last)
