@@ -75,18 +75,23 @@ def expand_selected(pred: DataFrame, chain: DataFrame, layer: int, selected: Dat
     return expand(pred, chain, layer).join(selected.select("r", "c").distinct(), ["r", "c"], "left_semi")
 
 
-def score_candidates(candidates: DataFrame, x: DataFrame, weights: DataFrame, bias: float) -> DataFrame:
-    """``candidates`` with ``s``: <x, w> on shared features plus the bias; zero where nothing is shared."""
-    w = weights.select(F.col("feat").alias("k"), F.col("label").alias("c"), "w")
-    dots = (
-        candidates.select("r", "c")
-        .join(x.select("r", F.col("c").alias("k"), F.col("v").alias("a")), "r")
-        .join(w.where(F.col("k") != BIAS), ["k", "c"])
-        .groupBy("r", "c")
-        .agg(F.sum(F.col("a") * F.col("w")).alias("d"))
-    )
-    b = w.where(F.col("k") == BIAS).select("c", (F.col("w") * bias).alias("b"))
-    return candidates.join(dots, ["r", "c"], "left").join(b, "c", "left").withColumn("s", F.coalesce("d", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).drop("d", "b")
+def score_children(pred: DataFrame, chain: DataFrame, layer: int, x: DataFrame, weights: DataFrame, bias: float, selected: DataFrame | None = None) -> DataFrame:
+    """(r, c, parent_score, s) of all children of the nodes ``pred`` (or those in ``selected``): <x, w> on shared features plus the bias; zero where nothing is shared.
+
+    A parent's weights of one feature lie together, so a row's feature meets each parent once, whatever the number of its children. The bias is a feature that every row and
+    every child has, so no child is lost; sums are formed before the one shuffle on (row, child).
+    """
+    own = layer_of(chain, layer)
+    w = weights.select(F.col("feat").alias("k"), F.col("label").alias("child"), "w")
+    used = own.join(w.where(F.col("k") != BIAS), "child")
+    always = own.join(w.where(F.col("k") == BIAS).select("child", "w"), "child", "left").select("child", "parent", F.lit(BIAS).cast("long").alias("k"), F.coalesce("w", F.lit(0.0)).alias("w"))
+    together = used.select("child", "parent", "k", "w").unionByName(always).groupBy("parent", "k").agg(F.collect_list(F.struct("child", "w")).alias("ws"))
+    rows = x.select("r", F.col("c").cast("long").alias("k"), F.col("v").alias("a")).unionByName(pred.select("r").distinct().select("r", F.lit(BIAS).cast("long").alias("k"), F.lit(float(bias)).alias("a")))
+    met = pred.select("r", F.col("c").alias("parent"), F.col("v").alias("parent_score")).join(rows, "r").join(together, ["parent", "k"])
+    each = met.select("r", "parent_score", F.explode("ws").alias("cw"), "a").select("r", "parent_score", F.col("cw.child").alias("c"), (F.col("a") * F.col("cw.w")).alias("p"))
+    if selected is not None:
+        each = each.join(selected.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    return each.groupBy("r", "c").agg(F.first("parent_score").alias("parent_score"), F.sum("p").alias("s"))
 
 
 def _cut(scored: DataFrame, k: int) -> DataFrame:
@@ -94,12 +99,12 @@ def _cut(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def predict_layer(candidates: DataFrame, x: DataFrame, weights: DataFrame, params: TreeParams, first: bool, k: int | None) -> DataFrame:
-    """(r, c, v[, rank]); the first layer has no parent score to combine with."""
+def predict_layer(pred: DataFrame, model: TreeModel, layer: int, x: DataFrame, params: TreeParams, k: int | None, selected: DataFrame | None = None) -> DataFrame:
+    """(r, c, v[, rank]) of the children of ``pred``; the first layer has no parent score to combine with."""
     post = PostProcessor.get(params.post_processor)
-    scored = score_candidates(candidates, x, weights, params.bias)
+    scored = score_children(pred, model.chain, layer, x, model.weights.where(F.col("layer") == layer), params.bias, selected)
     v = post.transform(F.col("s"))
-    out = scored.select("r", "c", (v if first else post.combine(v, F.col("parent_score"))).alias("v"))
+    out = scored.select("r", "c", (v if layer == 0 else post.combine(v, F.col("parent_score"))).alias("v"))
     return out if k is None else _cut(out, k)
 
 
@@ -110,8 +115,7 @@ def predict(model: TreeModel, x: DataFrame, layers: int | None = None, **overrid
     last = depth if layers is None else min(layers, depth)
     pred = x.select("r").distinct().select("r", F.lit(0).cast("long").alias("c"), F.lit(1.0).alias("v"))
     for layer in range(last):
-        w = model.weights.where(F.col("layer") == layer)
-        pred = predict_layer(expand(pred.select("r", "c", "v"), model.chain, layer), x, w, p, layer == 0, p.only_topk if layer == depth - 1 else p.beam_size)
+        pred = predict_layer(pred, model, layer, x, p, p.only_topk if layer == depth - 1 else p.beam_size)
     return pred
 
 
@@ -119,7 +123,7 @@ def predict_ranker(model: TreeModel, x: DataFrame, matched: DataFrame, **overrid
     """The last layer alone, from the nodes (r, c, v) that a matcher gave."""
     p = model.params.override(**override)
     layer = model.depth - 1
-    return predict_layer(expand(matched.select("r", "c", "v"), model.chain, layer), x, model.weights.where(F.col("layer") == layer), p, False, p.only_topk)
+    return predict_layer(matched, model, layer, x, p, p.only_topk)
 
 
 def predict_selected(model: TreeModel, x: DataFrame, pairs: DataFrame, **override) -> DataFrame:
@@ -131,8 +135,7 @@ def predict_selected(model: TreeModel, x: DataFrame, pairs: DataFrame, **overrid
         wanted[layer - 1] = wanted[layer].join(layer_of(model.chain, layer), F.col("c") == F.col("child")).select("r", F.col("parent").alias("c")).distinct()
     pred = wanted[0].select("r").distinct().select("r", F.lit(0).cast("long").alias("c"), F.lit(1.0).alias("v"))
     for layer in range(depth):
-        w = model.weights.where(F.col("layer") == layer)
-        pred = predict_layer(expand_selected(pred, model.chain, layer, wanted[layer]), x, w, p, layer == 0, None)
+        pred = predict_layer(pred, model, layer, x, p, None, wanted[layer])
     return pred
 
 
@@ -238,8 +241,8 @@ def candidates(y: DataFrame, chain: DataFrame, layer: int, m: DataFrame) -> Data
 def train_layer(x: DataFrame, rows: DataFrame, relevance: DataFrame | None = None, solver: str = solvers.DUAL_L2, cp: float = 1.0, cn: float = 1.0, bias: float = 1.0, threshold: float = 0.1, max_weights: int | None = None, eps: float = 0.1, max_iter: int = 100, max_rows: int = 100_000) -> DataFrame:
     """(feat, label, w): one problem for each label of ``rows`` (r, c, y), fitted in a grouped map over its own rows' features.
 
-    A positive's cost is ``cp`` times its relevance (1 if none), a negative's ``cn``. A label with over ``max_rows`` rows is fitted on the mean of as many solutions as keep each
-    part under that number (rows are dealt by hash), so no task gathers an unbounded group.
+    A positive's cost is ``cp`` times its relevance (1 if none), a negative's ``cn``. No task gathers an unbounded group: the rows of a label with over ``max_rows`` stay where they
+    are, in parts by hash, and only the parts' losses and gradients are summed in each step; the optimum is the same. (The hinge loss of ``l1svc_dual`` isn't smooth; there such a label raises.)
     """
     data = rows
     if relevance is not None:
@@ -247,35 +250,83 @@ def train_layer(x: DataFrame, rows: DataFrame, relevance: DataFrame | None = Non
     else:
         data = data.withColumn("rel", F.lit(None).cast("double"))
     data = data.withColumn("cost", F.when(F.col("y") > 0, F.lit(cp) * F.coalesce("rel", F.lit(1.0))).otherwise(F.lit(cn)))
-    size = rows.groupBy("c").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / max_rows))
-    data = data.join(size.select("c", "parts"), "c").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")))
+    size = settle(rows.groupBy("c").agg(F.ceil(F.count("*") / max_rows).cast("int").alias("parts")), "sizes")
+    data = data.join(size, "c").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
     feats = x.groupBy("r").agg(F.collect_list("c").alias("f"), F.collect_list("v").alias("v"))
     full = data.join(feats, "r", "left").select(F.col("c").alias("label"), "part", "parts", "r", "y", "cost", "f", "v")
+    large = not size.where("parts > 1").isEmpty()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
-        some = lambda a: a if a is not None else []
-        cols = sorted({int(c) for f in pdf["f"] for c in some(f)})
-        at = {c: i for i, c in enumerate(cols)}
-        n_extra = 1 if bias > 0 else 0
-        a = np.zeros((len(pdf), len(cols) + n_extra))
-        for i, (f, v) in enumerate(zip(pdf["f"], pdf["v"])):
-            for c, val in zip(some(f), some(v)):
-                a[i, at[int(c)]] = val
-        if n_extra:
-            a[:, -1] = bias
+        a, ids = _rows_of(pdf, bias)
         w = solvers.solve(solver, a, pdf["y"].to_numpy(float), pdf["cost"].to_numpy(float), eps, max_iter)
-        ids = np.array(cols + [BIAS] * n_extra, np.int64)
-        return pd.DataFrame({"feat": ids, "label": np.int64(pdf["label"].iloc[0]), "w": w / float(pdf["parts"].iloc[0])})
+        return pd.DataFrame({"feat": ids, "label": np.int64(pdf["label"].iloc[0]), "w": w})
 
-    w = full.groupBy("label", "part").applyInPandas(fit, "feat long, label long, w double")
-    w = w.groupBy("feat", "label").agg(F.sum("w").alias("w")).where(F.abs("w") >= threshold)
+    w = full.where("parts = 1").groupBy("label").applyInPandas(fit, "feat long, label long, w double")
+    if large:
+        w = w.unionByName(_train_large(full.where("parts > 1"), solver, bias, eps, max_iter))
+    w = w.where(F.abs("w") >= threshold)
     if max_weights:
         win = Window.partitionBy("label").orderBy(F.desc(F.abs("w")), F.when(F.col("feat") == BIAS, 1).otherwise(0), "feat")
         w = w.withColumn("n", F.row_number().over(win)).where(F.col("n") <= max_weights).drop("n")
     return w
 
 
+def _rows_of(pdf: pd.DataFrame, bias: float, at: np.ndarray | None = None) -> tuple[solvers.Rows, np.ndarray]:
+    """The rows' features as sparse rows, and the features' ids (``at``, or those that occur; the bias last)."""
+    some = [(f, v) if f is not None else ((), ()) for f, v in zip(pdf["f"], pdf["v"])]
+    n = np.array([len(f) for f, _ in some])
+    feat = np.concatenate([np.asarray(f, np.int64) for f, _ in some]) if len(some) else np.empty(0, np.int64)
+    val = np.concatenate([np.asarray(v, float) for _, v in some]) if len(some) else np.empty(0)
+    extra = 1 if bias > 0 else 0
+    ids = np.r_[np.unique(feat), np.full(extra, BIAS)] if at is None else at
+    known = ids[: len(ids) - extra]
+    row = np.repeat(np.arange(len(some)), n)
+    col = np.searchsorted(known, feat)
+    if extra:
+        row, col, val = np.r_[row, np.arange(len(some))], np.r_[col, np.full(len(some), len(known))], np.r_[val, np.full(len(some), bias)]
+    key, place = np.unique(row * max(1, len(ids)) + col, return_inverse=True)  # a feature that a row repeats counts by its sum
+    row, col = np.divmod(key, max(1, len(ids)))
+    return solvers.Rows(np.searchsorted(row, np.arange(len(some) + 1)), col, np.bincount(place, val, len(key)), len(ids)), ids
+
+
+def _part_step(sent, solver: str, bias: float):
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, at = sent.value
+        label = int(pdf["label"].iloc[0])
+        pdf = pdf.sort_values("r")
+        a, _ = _rows_of(pdf, bias, known[label])
+        loss, g = solvers.part_loss(solver, a, pdf["y"].to_numpy(float), pdf["cost"].to_numpy(float), at[label])
+        return pd.DataFrame({"label": [label], "part": [int(pdf["part"].iloc[0])], "loss": [loss], "g": [g]})
+
+    return step
+
+
+def _train_large(rows: DataFrame, solver: str, bias: float, eps: float, max_iter: int) -> DataFrame:
+    """(feat, label, w) of labels with many rows, all together: one job a step sums the parts' losses and gradients. The driver holds a few vectors over each such label's features."""
+    spark = rows.sparkSession
+    rows = settle(rows, "large")
+    seen: dict[int, list[int]] = {r["label"]: [] for r in rows.select("label").distinct().collect()}
+    for r in rows.select("label", F.explode("f").alias("feat")).distinct().orderBy("label", "feat").toLocalIterator():
+        seen[r["label"]].append(r["feat"])
+    ids = {label: np.array(f + [BIAS] * (bias > 0), np.int64) for label, f in seen.items()}
+    runs = {label: solvers.Descent(len(i), eps) for label, i in ids.items()}
+    for _ in range(10 * max_iter):
+        open_ = {label: run.at for label, run in runs.items() if not run.done}
+        if not open_:
+            break
+        sent = spark.sparkContext.broadcast(({label: ids[label] for label in open_}, open_))
+
+        mine = rows.where(F.col("label").isin(list(open_)))
+        told = mine.groupBy("label", "part").applyInPandas(_part_step(sent, solver, bias), "label long, part int, loss double, g array<double>").orderBy("label", "part").collect()
+        for label, run in runs.items():
+            of = [r for r in told if r["label"] == label]
+            if of:
+                run.tell(sum(r["loss"] for r in of), np.sum([r["g"] for r in of], axis=0))
+    out = [(int(f), int(label), float(v)) for label, run in runs.items() for f, v in zip(ids[label], run.w)]
+    return spark.createDataFrame(out, "feat long, label long, w double")
+
+
 def train(x: DataFrame, y: DataFrame, chain: DataFrame, relevance: DataFrame | None = None, negatives: str = "tfn", user_matches: dict[int, DataFrame] | None = None, params: TreeParams = TreeParams(), **solver) -> TreeModel:
     """A tree model, top down. Negatives of a layer: ``tfn`` instances of its parents' positives, ``man`` those in the model's own beam, ``usn`` the user's; joined by ``+``."""
     depth = depth_of(chain)
