@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import chains, ensembles, knn, labels, matrix, metrics, numbering, ranker, sessions, stores
@@ -490,10 +491,18 @@ def _(t):
     return rounded(tfidf.Tfidf.fit(t.documents, o).transform(t.documents))
 
 
-@query("tfidf_stacked")
+@query(
+    "tfidf_stacked",
+    """WITH W AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents), A AS (SELECT doc_id AS r, UNNEST(w) AS g FROM W), B AS (SELECT doc_id AS r, UNNEST(list_transform(range(1, len(w)), lambda i: w[i] || chr(1) || w[i + 1])) AS g FROM W),
+    AC AS (SELECT r, g, count(*) AS n FROM A GROUP BY 1, 2), AD AS (SELECT g, count(*) AS df FROM AC GROUP BY g HAVING count(*) >= 2), AF AS (SELECT g, 0 + row_number() OVER (ORDER BY df, g) - 1 AS c, greatest(ln((SELECT count(*) FROM documents) / (df + 1.0)), 0) AS idf FROM AD),
+    AV AS (SELECT r, c, g, n * idf AS v, SUM(n * idf * n * idf) OVER (PARTITION BY r) AS s FROM AC JOIN AF USING (g)), AX AS (SELECT r, c, g, CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END AS v FROM AV),
+    BC AS (SELECT r, g, count(*) AS n FROM B GROUP BY 1, 2), BD AS (SELECT g, count(*) AS df FROM BC GROUP BY g HAVING count(*) >= 2), BF AS (SELECT g, (SELECT count(*) FROM AD) + row_number() OVER (ORDER BY df, g) - 1 AS c, greatest(ln((SELECT count(*) FROM documents) / (df + 1.0)), 0) AS idf FROM BD),
+    BV AS (SELECT r, c, g, n * idf AS v, SUM(n * idf * n * idf) OVER (PARTITION BY r) AS s FROM BC JOIN BF USING (g)), BX AS (SELECT r, c, g, CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END AS v FROM BV),
+    Z AS (SELECT r, c, v FROM AX UNION ALL SELECT r, c, v FROM BX) SELECT r, c::BIGINT AS c, round(CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END, 6) AS v FROM (SELECT r, c, v, SUM(v * v) OVER (PARTITION BY r) AS s FROM Z)""",
+)
 def _(t):
     models = tfidf.fit_stacked(t.documents, [tfidf.Options(min_df_cnt=2), tfidf.Options(ngram_range=(2, 2), min_df_cnt=2)])
-    return tfidf.transform_stacked(models, t.documents)
+    return rounded(tfidf.transform_stacked(models, t.documents))
 
 
 @query(
@@ -510,18 +519,32 @@ def _(t):
     return tfidf.hashing(t.documents)
 
 
-@query("tfidf_position_weighted")
+@query(
+    "tfidf_position_weighted",
+    """WITH W AS (SELECT p_partkey AS r, string_split(p_name, '') AS t FROM part), N AS (SELECT UNNEST(range(1, 4)) AS n), P AS (SELECT r, n, t, UNNEST(range(0, len(t) - n + 1)) AS i FROM W, N), A AS (SELECT r, n AS len, i, array_to_string(t[i + 1:i + n], chr(1)) AS g FROM P),
+    AC AS (SELECT r, g, count(*) AS n FROM A GROUP BY 1, 2), AD AS (SELECT g, count(*) AS df FROM AC GROUP BY g HAVING count(*) >= 0), AF AS (SELECT g, 0 + row_number() OVER (ORDER BY df, len(replace(g, chr(1), '')), g) - 1 AS c, greatest(ln((SELECT count(*) FROM part) / (df + 1.0)), 0) AS idf FROM AD),
+    AV AS (SELECT r, c, g, n * idf AS v, SUM(n * idf * n * idf) OVER (PARTITION BY r) AS s FROM AC JOIN AF USING (g)), AX AS (SELECT r, c, g, CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END AS v FROM AV),
+    Q AS (SELECT r, g, SUM(1.0::DOUBLE / (i + 1)) AS w FROM A GROUP BY 1, 2), Z AS (SELECT r, c, v * w AS v FROM AX JOIN Q USING (r, g)) SELECT r, c::BIGINT AS c, round(CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END, 6) AS v FROM (SELECT r, c, v, SUM(v * v) OVER (PARTITION BY r) AS s FROM Z)""",
+)
 def _(t):
     corpus = t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return tfidf.position_weighted(corpus, tfidf.Tfidf.fit(corpus, tfidf.Options(tokenizer=T.CHAR, ngram_range=(1, 3))))
+    return rounded(tfidf.position_weighted(corpus, tfidf.Tfidf.fit(corpus, tfidf.Options(tokenizer=T.CHAR, ngram_range=(1, 3)))))
 
 
-@query("tfidf_query_prefix")
+@query(
+    "tfidf_query_prefix",
+    """WITH A AS (SELECT p_partkey AS r, UNNEST(list_filter(string_split(p_type, ' '), lambda x: x <> '')) AS g FROM part), B AS (SELECT p_partkey AS r, UNNEST(string_split(substr(p_name, 1, 4), '')) AS g FROM part),
+    AC AS (SELECT r, g, count(*) AS n FROM A GROUP BY 1, 2), AD AS (SELECT g, count(*) AS df FROM AC GROUP BY g HAVING count(*) >= 0), AF AS (SELECT g, 0 + row_number() OVER (ORDER BY df, g) - 1 AS c, greatest(ln((SELECT count(*) FROM part) / (df + 1.0)), 0) AS idf FROM AD),
+    AV AS (SELECT r, c, g, n * idf AS v, SUM(n * idf * n * idf) OVER (PARTITION BY r) AS s FROM AC JOIN AF USING (g)), AX AS (SELECT r, c, g, CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END AS v FROM AV),
+    BC AS (SELECT r, g, count(*) AS n FROM B GROUP BY 1, 2), BD AS (SELECT g, count(*) AS df FROM BC GROUP BY g HAVING count(*) >= 0), BF AS (SELECT g, (SELECT count(*) FROM AD) + row_number() OVER (ORDER BY df, g) - 1 AS c, greatest(ln((SELECT count(*) FROM part) / (df + 1.0)), 0) AS idf FROM BD),
+    BV AS (SELECT r, c, g, n * idf AS v, SUM(n * idf * n * idf) OVER (PARTITION BY r) AS s FROM BC JOIN BF USING (g)), BX AS (SELECT r, c, g, CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END AS v FROM BV),
+    Z AS (SELECT r, c, v FROM AX UNION ALL SELECT r, c, v FROM BX) SELECT r, c::BIGINT AS c, round(CASE WHEN s > 0 THEN v / sqrt(s) ELSE v END, 6) AS v FROM (SELECT r, c, v, SUM(v * v) OVER (PARTITION BY r) AS s FROM Z)""",
+)
 def _(t):
     rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("query"), F.substring("p_name", 1, 4).alias("prefix"))
     q = tfidf.Tfidf.fit(rows, tfidf.Options(), "id", "query")
     p = tfidf.Tfidf.fit(rows, tfidf.Options(tokenizer=T.CHAR), "id", "prefix")
-    return tfidf.query_prefix_features(rows, q, p)
+    return rounded(tfidf.query_prefix_features(rows, q, p))
 
 
 @query(
@@ -564,7 +587,11 @@ def _(t):
     return ranked(writers.run_lines(t.supply().select(F.col("r").alias("inp_id"), F.col("c").alias("lbl_id"), F.col("v").alias("score"))))
 
 
-@query("prediction_lists")
+@query(
+    "prediction_lists",
+    """WITH S AS (SELECT l_suppkey AS r, l_partkey AS c, SUM(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), R AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY v DESC, c) AS rank FROM S QUALIFY rank <= 5)
+    SELECT r, '{"schema": ["output_item", "score"], "data": [' || string_agg('["' || p_name || '", ' || format('{:.5g}', v)::DOUBLE::VARCHAR || ']', ', ' ORDER BY rank) || ']}' AS line FROM R JOIN part ON p_partkey = c GROUP BY r""",
+)
 def _(t):
     return writers.prediction_lists(matrix.topk_rows(t.supply(), 5), t.part.select(F.col("p_partkey").alias("c"), F.col("p_name").alias("item")))
 
@@ -679,29 +706,56 @@ def _(t):
     return ranked(chains.overlapping_clusters(y, chains.lift(y, t.tree(), 2), 2))
 
 
-@query("bin_labels")
+@query(
+    "bin_labels",
+    """SELECT c_nationkey::BIGINT AS cluster, count(*) AS labels, ((count(*) + 4) // 5)::BIGINT AS bins, least(count(*), 5)::BIGINT AS most FROM customer GROUP BY 1""",
+)
 def _(t):
-    return chains.bin_labels(t.customer.select(F.col("c_custkey").alias("label"), F.col("c_nationkey").alias("cluster")), 5)
+    """What bins have to be, whatever the shuffle: all labels, as few bins as hold them."""
+    bins = chains.bin_labels(t.customer.select(F.col("c_custkey").alias("label"), F.col("c_nationkey").cast("long").alias("cluster")), 5)
+    sizes = bins.groupBy("cluster", "bin").agg(F.countDistinct("label").alias("n"))
+    return sizes.groupBy("cluster").agg(F.sum("n").alias("labels"), F.count("*").alias("bins"), F.max("n").alias("most"))
 
 
 def _vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-@query("balanced_kmeans")
+@query(
+    "balanced_kmeans",
+    """WITH RECURSIVE D AS (SELECT greatest(1, ceil(log2(greatest(2, count(*)) / 100.0)))::BIGINT AS depth, count(*)::BIGINT AS n FROM embeddings), S AS (SELECT 0::BIGINT AS d, 0::BIGINT AS node, n FROM D UNION ALL
+    SELECT d + 1, node * 2 + side, CASE WHEN side = 0 THEN n // 2 ELSE n - n // 2 END FROM S, (SELECT UNNEST([0, 1]) AS side) WHERE d < (SELECT depth FROM D)) SELECT node AS leaf, n AS members FROM S WHERE d = (SELECT depth FROM D)""",
+)
 def _(t):
-    return chains.balanced_kmeans(_vectors(t), max_leaf_size=100, max_iter=5)
+    """Sizes of the leaves: each layer halves every node exactly."""
+    codes = chains.balanced_kmeans(_vectors(t), max_leaf_size=100, max_iter=5)
+    return codes.groupBy(F.col("parent").alias("leaf")).agg(F.countDistinct("child").alias("members"))
 
 
-@query("must_link_kmeans")
+@query(
+    "must_link_kmeans",
+    """SELECT vec_id % 100 AS grp, count(*) AS members, 1::BIGINT AS leaves, true AS small FROM embeddings GROUP BY 1""",
+)
 def _(t):
-    return chains.must_link_kmeans(_vectors(t), t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("group")), max_leaf_size=20, max_iter=5)
+    """Each group in one leaf, and no leaf of two or more groups over the bound."""
+    group = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("group"))
+    codes = scratch.settle(chains.must_link_kmeans(_vectors(t), group, max_leaf_size=40, max_iter=3), "codes")
+    both = codes.join(group, F.col("child") == F.col("id"))
+    leaf = both.groupBy("parent").agg((F.count("*") <= 40) | (F.countDistinct("group") == 1)).toDF("parent", "ok")
+    return both.join(leaf, "parent").groupBy(F.col("group").alias("grp")).agg(F.count("*").alias("members"), F.countDistinct("parent").alias("leaves"), F.min("ok").alias("small"))
 
 
-@query("hybrid_chain")
+@query(
+    "hybrid_chain",
+    """SELECT 'k' || (label::VARCHAR)[1:1] AS prefix, count(*) AS members, true AS balanced, true AS own FROM embeddings GROUP BY 1""",
+)
 def _(t):
+    """Of each prefix: its labels, whether no leaf has more than allowed, and whether none is shared with another prefix."""
     names = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("k"), F.col("label")).alias("name"))
-    return chains.hybrid_chain(names, _vectors(t), 2, 100, max_iter=3)
+    chain = scratch.settle(chains.hybrid_chain(names, _vectors(t), 2, 40, max_iter=3), "chain")
+    last = chains.layer_of(chain, chains.depth_of(chain) - 1).join(names, F.col("child") == F.col("id")).withColumn("prefix", F.substring("name", 1, 2))
+    leaf = last.groupBy("parent").agg((F.count("*") <= 40).alias("balanced"), (F.countDistinct("prefix") == 1).alias("own"))
+    return last.join(leaf, "parent").groupBy("prefix").agg(F.count("*").alias("members"), F.min("balanced").alias("balanced"), F.min("own").alias("own"))
 
 
 # ---------------------------------------------------------------- neighbours
@@ -758,16 +812,22 @@ def _(t):
 # ---------------------------------------------------------------- stores
 
 
-@query("map_lookup", "SELECT o_orderkey AS id, coalesce(n, -1)::BIGINT AS value FROM orders LEFT JOIN (SELECT c_custkey, max(c_nationkey) AS n FROM customer WHERE c_nationkey < 12 GROUP BY 1) ON c_custkey = o_custkey")
+@query(
+    "map_lookup",
+    """SELECT p_partkey AS id, coalesce(n, -1)::BIGINT AS value FROM part LEFT JOIN (SELECT c_custkey, max(c_nationkey) AS n FROM customer GROUP BY 1) ON c_custkey = p_partkey * 2""",
+)
 def _(t):
-    table = stores.build_map(t.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("value")))
-    return stores.lookup(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key")), table, -1).select("id", "value")
+    table = stores.build_map(t.customer.select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("value")))
+    return stores.lookup(t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2).alias("key")), table, -1).select("id", "value")
 
 
-@query("map_contains", "SELECT o_orderkey AS id, o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS found FROM orders")
+@query(
+    "map_contains",
+    """SELECT p_partkey AS id, p_partkey * 2 IN (SELECT c_custkey FROM customer) AS found FROM part""",
+)
 def _(t):
-    table = t.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("key"))
-    return stores.contains(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key")), table).select("id", "found")
+    table = t.customer.select(F.col("c_custkey").alias("key"))
+    return stores.contains(t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2).alias("key")), table).select("id", "found")
 
 
 @query("store_submatrix", "SELECT i, j, embedding[col + 1]::DOUBLE AS value FROM (SELECT s_suppkey AS i, s_suppkey * 3 AS row FROM supplier), (SELECT n_nationkey::BIGINT AS j, (24 - n_nationkey)::BIGINT AS col FROM nation), embeddings WHERE vec_id = row".replace(" row ", " rw ").replace("AS row", "AS rw").replace("= row", "= rw"))
@@ -778,11 +838,13 @@ def _(t):
     return stores.submatrix(store, rows, cols).withColumn("value", F.col("value").cast("double"))
 
 
-_KEYED = "K1 AS (SELECT p_brand AS row_key, p_type AS col_key, SUM(p_size)::DOUBLE AS v FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2), K2 AS (SELECT p_brand AS row_key, p_type AS col_key, SUM(p_retailprice)::DOUBLE AS v FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1, 2)"
+_KEYED = "K1 AS (SELECT p_brand AS row_key, p_type AS col_key, SUM(p_size)::DOUBLE AS v FROM part GROUP BY 1, 2), K2 AS (SELECT p_brand AS row_key, l_returnflag AS col_key, SUM(l_quantity)::DOUBLE AS v FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 UNION ALL SELECT p_brand, p_type, SUM(p_retailprice)::DOUBLE FROM part GROUP BY 1, 2)"
 
 
 def _keyed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return stores.keyed_from(t.part.where("p_partkey % 3 <> 0"), "p_brand", "p_type", "p_size"), stores.keyed_from(t.part.where("p_partkey % 3 <> 1"), "p_brand", "p_type", "p_retailprice")
+    shipped = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    second = stores.keyed_from(shipped, "p_brand", "l_returnflag", "l_quantity").unionByName(stores.keyed_from(t.part, "p_brand", "p_type", "p_retailprice"))
+    return stores.keyed_from(t.part, "p_brand", "p_type", "p_size"), second
 
 
 for _how, _expr, _join in (("replace", "coalesce(K2.v, K1.v)", "FULL JOIN"), ("add", "coalesce(K1.v, 0) + coalesce(K2.v, 0)", "FULL JOIN"), ("max", "greatest(coalesce(K1.v, 0), coalesce(K2.v, 0))", "FULL JOIN"), ("min", "least(K1.v, K2.v)", "JOIN")):
@@ -794,10 +856,12 @@ def _(t):
     return stores.keyed_select(_keyed(t)[0], ["Brand#11", "Brand#22"])
 
 
-@query("keyed_append", f"WITH {_KEYED} SELECT row_key, col_key, round(v, 4) AS v FROM K1 WHERE row_key < 'Brand#3' UNION ALL SELECT row_key, col_key, round(v, 4) FROM K2 WHERE row_key NOT IN (SELECT row_key FROM K1 WHERE row_key < 'Brand#3')")
+@query("keyed_append", f"WITH {_KEYED}, N AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Brand#' || (10 + n_nationkey) END AS row_key, r_name AS col_key, n_nationkey + 1.0::DOUBLE AS v FROM nation JOIN region ON r_regionkey = n_regionkey) SELECT row_key, col_key, round(v, 4) AS v FROM K1 UNION ALL SELECT row_key, col_key, v FROM N WHERE row_key NOT IN (SELECT row_key FROM K1)")
 def _(t):
-    a, b = _keyed(t)
-    return rounded(stores.keyed_append(a.where("row_key < 'Brand#3'"), b), 4)
+    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("Brand#"), (10 + F.col("n_nationkey")).cast("string")))
+    more = stores.keyed_from(named.withColumn("key", key).withColumn("n", F.col("n_nationkey") + 1), "key", "r_name", "n")
+    return rounded(stores.keyed_append(_keyed(t)[0], more), 4)
 
 
 @query("merge_index", "SELECT name, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS id FROM (SELECT DISTINCT p_brand AS name FROM part UNION SELECT n_name FROM nation)")
@@ -870,14 +934,26 @@ def _(t):
     return ranker.mean_split(_targets(t))
 
 
-@query("ranker_pairs")
+@query(
+    "ranker_pairs",
+    """WITH X AS (SELECT l_orderkey AS r, l_partkey AS c, SUM(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2) SELECT r AS inp_id, true AS ordered, true AS known FROM X GROUP BY r HAVING min(v) < max(v)""",
+)
 def _(t):
-    return ranker.pairwise_sample(_targets(t))
+    """Inputs that have a pair, whether it is ordered, and whether both labels have the scores that they are given."""
+    pairs = ranker.pairwise_sample(_targets(t))
+    each = ranker.explode_targets(_targets(t))
+    side = lambda c, s: each.select(F.col("inp_id"), F.col("lbl_id").alias(c), F.col("score").alias(s))
+    found = pairs.join(side("better", "b"), ["inp_id", "better"]).join(side("worse", "w"), ["inp_id", "worse"])
+    return found.select("inp_id", (F.col("better_score") > F.col("worse_score")).alias("ordered"), ((F.col("b") == F.col("better_score")) & (F.col("w") == F.col("worse_score"))).alias("known"))
 
 
-@query("ranker_lists")
+@query(
+    "ranker_lists",
+    """WITH X AS (SELECT l_orderkey AS r, l_partkey AS c, SUM(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), M AS (SELECT r, v, AVG(v) OVER (PARTITION BY r) AS m FROM X) SELECT r AS inp_id, 3::INTEGER AS n, true AS first_is_best FROM M GROUP BY r HAVING count(*) FILTER (v > m) >= 1 AND count(*) FILTER (v <= m) >= 2""",
+)
 def _(t):
-    return ranker.listwise_sample(_targets(t), 3)
+    """Inputs that have a list, its length, and whether the first score is over all others."""
+    return ranker.listwise_sample(_targets(t), 3).select("inp_id", F.size(F.array_distinct("lbl_ids")).alias("n"), (F.col("scores")[0] > F.array_max(F.slice("scores", 2, 3))).alias("first_is_best"))
 
 
 @query("ranker_padding", f"WITH {PARTS}, G AS (SELECT r, list(c ORDER BY c) AS l FROM X GROUP BY r) SELECT r AS inp_id, array_to_string(list_transform(range(1, 6), lambda i: coalesce(l[i], -1)), ',') AS lbl_id FROM G")
@@ -892,7 +968,10 @@ def _(t):
     return out.select("inp_id", "lbl_id", "keywords", "title")
 
 
-@query("ranker_scores")
+@query(
+    "ranker_scores",
+    """SELECT l_orderkey AS inp_id, l_partkey AS lbl_id, SUM(l_quantity)::DOUBLE * 2 AS score FROM lineitem GROUP BY 1, 2""",
+)
 def _(t):
     pairs = t.parts().select(F.col("r").alias("inp_id"), F.col("c").alias("lbl_id"), "v")
-    return ranker.score_pairs(pairs, lambda pdf: pdf["v"] * 2, ["v"])
+    return ranker.score_pairs(pairs, lambda pdf: pdf["v"] * 2, ["v"])
\ No newline at end of file

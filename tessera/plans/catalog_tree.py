@@ -167,9 +167,9 @@ def _(t):
     from .text_to_items import TextToItems
     from .tfidf import Options
 
-    docs = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = t.documents
     source = F.regexp_extract("source", r"(\d+)", 1).cast("long")
     y = docs.select(F.col("doc_id").alias("r"), source.alias("c"), F.lit(1.0).alias("v"))
     items = docs.select(source.alias("c"), F.col("source").alias("item")).distinct()
-    m = TextToItems.train(docs, y, items, Options(min_df_cnt=2, max_feature=300), max_leaf_size=10, solver="l2svc_primal", threshold=0.05)
+    m = TextToItems.train(docs, y, items, Options(min_df_cnt=2), max_leaf_size=10, solver="l2svc_primal", threshold=0.05)
     return m.predict(docs, topk=3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,13 +11,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    """Deletes what ``settle`` wrote, when the driver ends in order."""
+    for spark, path in _WRITTEN:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended
+            break
+
+
+atexit.register(_clean)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own, in a session without other machines only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-scratch-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -27,4 +44,5 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """``df``, computed once: written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,7 +67,7 @@ def parse_labelled(lines: DataFrame, sep: str = "\t", max_split: int = -1, label
 
     ``with_relevance`` None: decided by the first line, for all. A missing value is 1.
     """
-    parts = F.split("text", sep, max_split + 1 if max_split > 0 else -1)
+    parts = F.split("text", r"\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + r"\E", max_split + 1 if max_split > 0 else -1)
     raw = F.trim(F.element_at(parts, label_pos + 1))
     if with_relevance is None:
         first = lines.orderBy("line").select(raw).first()

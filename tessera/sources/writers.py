@@ -14,7 +14,8 @@ def prediction_lists(pred: DataFrame, items: DataFrame) -> DataFrame:
     """(r, line): a JSON line for each row, items by rank, scores to five significant digits."""
     named = pred.join(items, "c").select("r", "rank", "item", F.format_string("%.5g", "v").cast("double").alias("score"))
     lists = named.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("rank", "item", "score"))).alias("g"))
-    pair = F.transform("g", lambda x: F.concat(F.lit('["'), F.regexp_replace(x["item"], r'(["\\])', r"\\$1"), F.lit('", '), x["score"].cast("string"), F.lit("]")))
+    written = lambda x: F.to_json(F.array(x["item"]))  # noqa: E731  (["item"], every character escaped as JSON wants it)
+    pair = F.transform("g", lambda x: F.concat(F.substr(written(x), F.lit(1), F.length(written(x)) - 1), F.lit(", "), x["score"].cast("string"), F.lit("]")))
     return lists.select("r", F.concat(F.lit('{"schema": ["output_item", "score"], "data": ['), F.array_join(pair, ", "), F.lit("]}")).alias("line"))
 
 
