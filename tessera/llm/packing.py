@@ -27,10 +27,10 @@ from ._kk import kk_states
 
 SEQUENCE = 2048
 CUT = 512
-DOCS_PER_GROUP = 1024
+DOCS_PER_GROUP = 512
 #: Fine pieces a window, and their length.
-GRAINS = 4
-GRAIN = 24
+GRAINS = 3
+GRAIN = 48
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids are remembered by a task; the memory starts anew when full.
@@ -163,7 +163,7 @@ def group_windows(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT,
             return pieces, np.empty(0, np.int64), 0
         part, k = windows(sizes, sequence, grain)
         least = -(-int(sizes.sum()) // sequence)
-        if k <= least + max(1, least // 200) or grains * grain >= sequence:
+        if k <= least + max(1, least // 100) or grains * grain >= sequence:
             return pieces, part, k
         grains *= 4
 
