@@ -335,6 +335,63 @@ def test_few_products_are_taken_in_a_whole_block():
     assert taken / len(q) / len(x) < 0.3 and np.mean(recall) >= 0.95
 
 
+def test_a_known_radius_passes_over_nearly_all():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30000, 64))
+    x[20000:20003] = x[0] * 1.5
+    ids, q = np.arange(len(x)), np.arange(0, 3000, 100)
+    rest = ids >= 16384
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    least = -np.sort(-s[:, ~rest], 1)[:, 19]
+    least[-1] = np.nan  # one that has no bound yet is shown everything
+    found, taken = neighbours.search_slice(neighbours.Asked(q, q, x[q], least), ids[rest], ids[rest], x[rest], 20)
+    reached = kept = 0
+    for i, bound, scores in zip(q, least, s):
+        got = found[found.query_id == i]
+        want = np.flatnonzero(rest & ~(scores < bound))
+        assert len(got) <= 20 and set(got.vec_id) <= set(want) and np.allclose(got.score, scores[got.vec_id])
+        want = want[np.lexsort((want, -scores[want]))[:20]]
+        reached, kept = reached + len(want), kept + len(set(want) & set(got.vec_id))
+        assert i != q[-1] or set(want) == set(got.vec_id)
+    assert {20000, 20001, 20002} <= set(found[found.query_id == 0].vec_id)
+    assert kept / reached >= 0.9 and (taken - rest.sum()) / (len(q) - 1) / rest.sum() < 0.06
+
+
+def test_neighbours_in_levels(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 24)) * rng.lognormal(0, 0.3, (6000, 1))
+    x[4321] *= 1000  # one very long vector must not blunt the search of the others
+    y = rng.normal(size=(1000, 5))
+    x[900] = x[700] = x[500]
+    vectors = [*x, *y, *[np.full(24, 1e200)] * 2]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(5)
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, 20, rows_per_block=200, queries_per_chunk=16, queries_at_once=9).toPandas().sort_values(["query_id", "rank"])
+    assert set(got.query_id) == set(range(0, 7001, 100)) and (got.groupby("query_id").size() == 20).all()
+    recall = []
+    for i, mine in got.groupby("query_id"):
+        like = np.array([j for j, v in enumerate(vectors) if len(v) == len(vectors[i]) and j != i])
+        score = np.stack([vectors[j] for j in like]) @ vectors[i]
+        assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine.score, score[np.searchsorted(like, mine.vec_id)], rtol=1e-9)
+        assert [tuple(r) for r in mine[["score", "vec_id"]].to_numpy()] == sorted(map(tuple, mine[["score", "vec_id"]].to_numpy()), key=lambda r: (-r[0], r[1]))
+        recall.append(len(set(like[np.lexsort((like, -score))[:20]]) & set(mine.vec_id)) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.6
+
+
+def test_neighbours_asks_every_hundredth_id(spark):
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    got = neighbours.op3_neighbours(spark, "/root/testdata/sf0.1").toPandas()
+    assert set(got.query_id) == set(x.vec_id[x.vec_id % 100 == 0]) and dict(got.dtypes.astype(str)) == {"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "float64"}
+    v, ids, recall = np.stack(x.embedding.to_numpy()).astype(float), x.vec_id.to_numpy(), []
+    for i, mine in got.groupby("query_id"):
+        s = v @ v[ids == i][0]
+        s[ids == i] = -np.inf
+        recall.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(mine.vec_id)) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_decontamination_catches_copies_and_paraphrases(spark):
     rng = random.Random(8)
     rare = lambda n: [f"q{rng.randrange(10**9)}" if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(n)]
