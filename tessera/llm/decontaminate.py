@@ -42,6 +42,8 @@ WORDS_AT_ONCE = 1 << 15
 COSINES_AT_ONCE = 1 << 22
 #: Passages whose products are formed at once.
 ROWS_AT_ONCE = 32
+#: Bounds the table by which known words are found, not the words.
+MOST_SLOTS = 1 << 22
 #: Tasks that sum up the products; a row for each bucket.
 SUM_TASKS = 12
 MIN_COSINE = 0.8
@@ -68,6 +70,41 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return hashes & (BUCKETS - 1)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each key once, in order; how often it occurs). A plain sort takes a tenth of the time of ``np.unique``."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    return keys[first], np.diff(first, append=len(keys))
+
+
+class Places:
+    """Finds words among the ``known`` ones, which are in order: by the last bits of a word, and by search where known words share these."""
+
+    def __init__(self, known: np.ndarray):
+        size = min(1 << (4 * len(known)).bit_length(), MOST_SLOTS)
+        slot = known & (size - 1)
+        self.known = known
+        self.slots = np.full(size, len(known), np.int32)
+        self.slots[slot] = np.arange(len(known))
+        self.shared = np.bincount(slot, minlength=size) > 1
+
+    def __reduce__(self):
+        return Places, (self.known,)  # the table is made anew where it is used
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word; ``len(known)`` for others."""
+        n = len(self.known)
+        slot = words & (len(self.slots) - 1)
+        at = self.slots[slot].astype(np.int64)
+        other = np.flatnonzero(np.append(self.known, 0)[at] != words)
+        at[other] = n
+        other = other[self.shared[slot[other]]]
+        if len(other):
+            found = np.searchsorted(self.known, words[other])
+            at[other] = np.where(self.known[np.minimum(found, n - 1)] == words[other], found, n)
+        return at
+
+
 def common_subsequence(item: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence, a bit of an integer for each word of the item."""
     where: dict[int, int] = {}
@@ -124,8 +161,10 @@ class Latent:
         self.word = word
         self.ids = [i for i, _ in items]
         self.known = np.unique(np.concatenate([w for _, w in items]))
+        self.places = Places(self.known)
         self.items = [np.searchsorted(self.known, w).tolist() for _, w in items]
         self.z, self.z_item, _ = latent_passages(np.concatenate([w for _, w in items]), np.cumsum([0] + [len(w) for _, w in items]), word)
+        self.z_from = np.searchsorted(self.z_item, np.arange(len(items) + 1))
         count = [df.get(int(h), 0) for h in self.known]
         telling = [sorted(set(ws), key=lambda w: (count[w], w)) for ws in self.items]
         self.answers = [set(t[:ANSWER_WORDS]) for t in telling]
@@ -163,11 +202,11 @@ class Latent:
         order = np.argsort(item, kind="stable")
         return item[order], np.repeat(where, n)[order]
 
-    def _by_words(self, at: np.ndarray, text: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, from, to): runs of passages, by the words at which they begin, whose regions can hold enough of the item's rarest words."""
-        item, place = self._hits(at, self.n_tells, self.tells_from, self.tells)
+    def _regions(self, hits: tuple[np.ndarray, np.ndarray], need: np.ndarray, text: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, from, to), by item and place: runs of passages, by the words at which they begin, whose regions hold ``need`` of the item's ``hits`` or more."""
+        item, place = hits
         first = np.arange(len(item))
-        last = first + self.need[item] - 1
+        last = first + need[item] - 1
         first, last = first[last < len(item)], last[last < len(item)]
         pad = self.pad[item[first]]
         near = (item[first] == item[last]) & (text[place[first]] == text[place[last]]) & (place[last] - place[first] < PASSAGE + 2 * pad)
@@ -182,25 +221,41 @@ class Latent:
         at_new = np.flatnonzero(new)
         return t[at_new], item[at_new], lo[at_new], hi[np.r_[at_new[1:], len(item)] - 1] if len(item) else hi
 
-    def _by_cosine(self, hashes: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, word at which the passage begins, cosine), as near as ``MIN_COSINE`` in the latent space, and with enough of the answer's words around."""
-        z, text, start = latent_passages(hashes, ends, self.word)
-        n = len(at) + 1
-        item, place = self._hits(at, self.n_answers, self.answers_from, self.answer_of)
-        hits = item * n + place
-        step = max(1, COSINES_AT_ONCE // max(1, len(self.z)))
+    def _by_words(self, at: np.ndarray, text: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, from, to): runs of passages whose regions can hold enough of the item's rarest words."""
+        return self._regions(self._hits(at, self.n_tells, self.tells_from, self.tells), self.need, text, first_word)
+
+    def _by_cosine(self, hashes: np.ndarray, at: np.ndarray, text: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(text, item, word at which the passage begins, cosine), as near as ``MIN_COSINE`` in the latent space, and with enough of the answer's words around.
+
+        Vectors are formed of texts that have the words, and cosines with the items whose words they are.
+        """
+        t, item, lo, hi = self._regions(self._hits(at, self.n_answers, self.answers_from, self.answer_of), self.of_answer, text, ends[:-1])
+        n = np.diff(ends)
+        lo, hi = -(-lo // STRIDE), np.minimum(hi, np.maximum(0, n[t] - STRIDE - 1)) // STRIDE  # the passages, by number
+        some = lo <= hi
+        t, item, lo, hi = t[some], item[some], lo[some], hi[some]
+        if not len(t):
+            return []
+        used = np.zeros(len(n), bool)
+        used[t] = True
+        z, z_text, _ = latent_passages(hashes[used[text]], np.concatenate([[0], np.cumsum(n[used])]), self.word)
+        first = np.searchsorted(z_text, (np.cumsum(used) - 1)[t])
+        cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
         found = []
-        for i in range(0, len(z), step):
-            s = z[i : i + step] @ self.z.T
-            p, k = np.nonzero(s >= MIN_COSINE)
-            t, j, a = text[i + p], self.z_item[k], start[i + p]
-            pad = self.pad[j]
-            held = np.searchsorted(hits, j * n + np.minimum(ends[t + 1], a + PASSAGE + pad)) - np.searchsorted(hits, j * n + np.maximum(ends[t], a - pad))
-            ok = held >= self.of_answer[j]
-            found.append((t[ok], j[ok], a[ok], s[p[ok], k[ok]]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-        return tuple(np.concatenate(x) for x in zip(*found))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            i = int(item[a])
+            of_item = self.z[self.z_from[i] : self.z_from[i + 1]].T
+            size = hi[a:b] - lo[a:b] + 1
+            run = np.repeat(np.arange(a, b), size)
+            number = lo[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+            step = max(1, COSINES_AT_ONCE // of_item.shape[1])
+            for p in range(0, len(run), step):
+                r, k = run[p : p + step], number[p : p + step]
+                c = (z[first[r] + k] @ of_item).max(1)
+                ok = np.flatnonzero(c >= MIN_COSINE)
+                found += zip(t[r[ok]].tolist(), [i] * len(ok), (k[ok] * STRIDE).tolist(), c[ok].tolist())
+        return found
 
     def cosine(self, hashes: np.ndarray, i: int) -> float:
         """Of a passage and the item's passage nearest to it, in the latent space."""
@@ -212,8 +267,7 @@ class Latent:
         if not len(hashes) or not len(self.ids):
             return []
         ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.searchsorted(self.known, hashes)
-        at[self.known[np.minimum(at, len(self.known) - 1)] != hashes] = len(self.known)
+        at = self.places.of(hashes)
         text = np.repeat(np.arange(len(counts)), counts)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
 
@@ -241,14 +295,8 @@ class Latent:
                     continue  # too little even in all of these regions together
                 for s in some:
                     check(t, i, s, None)
-        t, i, start, cosine = self._by_cosine(hashes, at, ends)
-        if len(t):
-            # the nearest of the item's passages
-            order = np.lexsort((-cosine, start, i))
-            t, i, start, cosine = t[order], i[order], start[order], cosine[order]
-            one = np.r_[True, (start[1:] != start[:-1]) | (i[1:] != i[:-1])]
-            for row in zip(t[one].tolist(), i[one].tolist(), (start - ends[t])[one].tolist(), cosine[one].tolist()):
-                check(*row)
+        for row in self._by_cosine(hashes, at, text, ends):
+            check(*row)
         return [(t, self.ids[i], c, cover, answer) for (t, i), (cover, answer, c) in sorted(best.items())]
 
 
@@ -286,17 +334,18 @@ def _frequencies(hashed: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray,
     size = BUCKETS + len(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = sent.value
+        places = Places(sent.value)
+        n = len(places.known)
         df = np.zeros(size + 1, np.int64)
         for batch in batches:
             df[-1] += batch.num_rows
             for words, ends in _in_slices(*_unpack(batch.column(1))):
                 text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                df[:BUCKETS] += np.bincount(np.unique(text * BUCKETS + bucket_of(words)) % BUCKETS, minlength=BUCKETS)
-                if len(mine):
-                    at = np.minimum(np.searchsorted(mine, words), len(mine) - 1)
-                    hit = mine[at] == words
-                    df[BUCKETS:-1] += np.bincount(np.unique(text[hit] * len(mine) + at[hit]) % len(mine), minlength=len(mine))
+                df[:BUCKETS] += np.bincount(distinct(text * BUCKETS + bucket_of(words))[0] % BUCKETS, minlength=BUCKETS)
+                if n:
+                    at = places.of(words)
+                    hit = at < n
+                    df[BUCKETS:-1] += np.bincount(distinct(text[hit] * n + at[hit])[0] % n, minlength=n)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["w", "df"])
 
@@ -311,16 +360,25 @@ def add_products(words: np.ndarray, ends: np.ndarray, idf: np.ndarray, test: np.
     n = np.diff(ends)
     passages = -(-n // PASSAGE)
     row = np.repeat(np.cumsum(passages) - passages, n) + (np.arange(len(words)) - np.repeat(ends[:-1], n)) // PASSAGE
-    key, k = np.unique(row * BUCKETS + bucket_of(words), return_counts=True)
-    row, w = np.divmod(key, BUCKETS)
+    # by groups of rows, then by word: a group's words are found by one sort of them all
+    group, row = np.divmod(row, ROWS_AT_ONCE)
+    key, k = distinct((group * BUCKETS + bucket_of(words)) * ROWS_AT_ONCE + row)
+    column, row = np.divmod(key, ROWS_AT_ONCE)
+    new = np.r_[np.ones(min(1, len(key)), bool), column[1:] != column[:-1]]
+    of_group = np.searchsorted(column, BUCKETS * np.arange(-(-int(passages.sum()) // ROWS_AT_ONCE) + 1))
+    at, w = np.cumsum(new) - 1, bucket_of(column)
+    columns = w[new]
     v = k * idf[w]
-    v = (v / np.sqrt(np.maximum(np.bincount(row, v * v), 1e-12))[row]).astype(test.dtype)
-    for first in range(0, int(passages.sum()), ROWS_AT_ONCE):
-        i, j = np.searchsorted(row, (first, first + ROWS_AT_ONCE))
-        used, at = np.unique(w[i:j], return_inverse=True)
+    passage = column // BUCKETS * ROWS_AT_ONCE + row
+    v = (v / np.sqrt(np.maximum(np.bincount(passage, v * v), 1e-12))[passage]).astype(test.dtype)
+    for i, j in zip(of_group[:-1].tolist(), of_group[1:].tolist()):
+        used = columns[at[i] : at[j - 1] + 1]
         a = np.zeros((ROWS_AT_ONCE, len(used)), test.dtype)  # few words are used by few rows, so it is small
-        a[row[i:j] - first, at] = v[i:j]
-        out[used] += a.T @ (a @ test[used])
+        a[row[i:j], at[i:j] - at[i]] = v[i:j]
+        # take in this mode has no check of bounds, and is faster than an index
+        y = out.take(used, 0, mode="clip")
+        y += a.T @ (a @ test.take(used, 0, mode="clip"))
+        out[used] = y
 
 
 def _products(hashed: DataFrame, items: list[np.ndarray], idf: np.ndarray, test: np.ndarray) -> np.ndarray:

@@ -531,6 +531,53 @@ def test_candidates_hold_all_that_passes_the_checks():
     assert n_found > 200
 
 
+def test_latent_vectors_are_formed_of_texts_with_an_answer_only(monkeypatch):
+    rng = random.Random(3)
+    items = [(i, word_ids(" ".join(f"n{i}k{k}" for k in range(40)))) for i in range(30)]
+    m = decontaminate.Latent(items, {}, np.random.default_rng(1).normal(size=(decontaminate.BUCKETS, 8)).astype(np.float32))
+    texts = [word_ids(" ".join(f"z{rng.randrange(10**9)}" for _ in range(rng.randint(1, 400)))) for _ in range(50)]
+    for t, i in ((7, 3), (20, 29)):
+        texts[t] = np.concatenate([texts[t], items[i][1], texts[t]])
+    formed = []
+    passages = decontaminate.latent_passages
+
+    def counted(hashes, ends, word):
+        formed.append(len(hashes))
+        return passages(hashes, ends, word)
+
+    monkeypatch.setattr(decontaminate, "latent_passages", counted)
+    found = m.search(np.concatenate(texts), np.array([*map(len, texts)]))
+    assert [(t, i, cover, answer) for t, i, _, cover, answer in found] == [(7, 3, 1.0, 1.0), (20, 29, 1.0, 1.0)]
+    assert sum(formed) == len(texts[7]) + len(texts[20])
+    formed.clear()
+    assert m.search(texts[0], np.array([len(texts[0])])) == [] and not formed
+
+
+@pytest.mark.parametrize("n,most", [(0, 1 << 22), (1, 1 << 22), (3000, 1 << 22), (3000, 64)])
+def test_places_of_known_words(monkeypatch, n, most):
+    import pickle
+
+    monkeypatch.setattr(decontaminate, "MOST_SLOTS", most)
+    rng = np.random.default_rng(n)
+    known = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+    words = np.concatenate([known, rng.integers(-(2**63), 2**63 - 1, 500), known ^ (1 << 50), [0]])  # the third ones share slots
+    place = {int(k): i for i, k in enumerate(known)}
+    want = [place.get(int(w), n) for w in words]
+    for p in (decontaminate.Places(known), pickle.loads(pickle.dumps(decontaminate.Places(known)))):
+        assert p.of(words).tolist() == want and len(p.slots) <= most
+
+
+def test_products_are_those_of_the_matrix():
+    rng = np.random.default_rng(5)
+    for lengths in ([], [0], [1], [32, 33, 0, 31, 64], [1500, 3, 0, 700]):
+        words, ends = rng.integers(0, 40, sum(lengths)), np.cumsum([0, *lengths])
+        idf, test, out = rng.random(decontaminate.BUCKETS) + 0.1, rng.normal(size=(decontaminate.BUCKETS, 5)), np.zeros((decontaminate.BUCKETS, 5))
+        a = [np.bincount(words[i : min(i + 32, e)], minlength=40) * idf[:40] for b, e in zip(ends[:-1], ends[1:]) for i in range(b, e, 32)]
+        a = np.array([r / np.linalg.norm(r) for r in a]).reshape(-1, 40)
+        decontaminate.add_products(words, ends, idf, test, out)
+        assert np.allclose(out[:40], a.T @ (a @ test[:40])) and not out[40:].any()
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
