@@ -3,7 +3,8 @@
 A document's whole sequences fill a window each, so there is nothing to difference in them; what remains (under one sequence) is cut into up to ``sequence / cut`` pieces. The pieces of
 ``docs_per_group`` documents are differenced into windows: the two partial partitions with the largest spreads are merged again and again, one's fullest windows with the other's emptiest.
 The count of windows begins at the least that could hold the group and rises whenever differencing leaves one over its capacity. So that differencing can get windows
-nearly equal, a few documents of each group are cut finely (``GRAINS`` pieces a window, of ``GRAIN`` ids or so): the last merges level with them.
+nearly equal, a few documents of each group are cut finely (``GRAINS`` pieces a window, of ``GRAIN`` ids or so): the last merges level with them. Where that leaves much room, more
+documents are, each into pieces of a size of its own: pieces all alike fill a window only by chance.
 A task packs what it reads, so nothing is shuffled, and a sequence never spans two tasks.
 
 Defined results: a null text counts as empty and holds the closing id alone; equal rows are packed each; an empty table gives no piece; an
@@ -121,17 +122,20 @@ def cuts(n: int, sequence: int = SEQUENCE, cut: int = CUT) -> list[tuple[int, in
     return out
 
 
-def group_cuts(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT, grains: int = GRAINS, grain: int = GRAIN) -> list[tuple[int, int, int]]:
-    """(document, start, length) of the pieces of a group; the documents with the longest remainders are cut finely until there are enough fine pieces."""
+def group_cuts(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT, grains: int = GRAINS, grain: int = GRAIN, sizes: int = 1) -> list[tuple[int, int, int]]:
+    """(document, start, length) of the pieces of a group; the documents with the longest remainders are cut finely until there are enough fine pieces.
+
+    Fine pieces have ``grain`` ids at most, or so many less as the document comes after others that are cut finely, counted up to ``sizes``.
+    """
     rest = [n % sequence for n in lengths]
     wanted = grains * -(-sum(rest) // sequence)
-    fine = set()
+    fine: dict[int, int] = {}
     for d in sorted(range(len(lengths)), key=lambda d: (-rest[d], d)):
         if wanted <= 0:
             break
-        fine.add(d)
+        fine[d] = grain - len(fine) % sizes
         wanted -= -(-rest[d] // grain)
-    return [(d, at, m) for d, n in enumerate(lengths) for at, m in cuts(n, sequence, min(grain, cut) if d in fine else cut)]
+    return [(d, at, m) for d, n in enumerate(lengths) for at, m in cuts(n, sequence, min(fine.get(d, cut), cut))]
 
 
 def windows(sizes: np.ndarray, sequence: int = SEQUENCE, grain: int = GRAIN) -> tuple[np.ndarray, int]:
@@ -155,9 +159,10 @@ def windows(sizes: np.ndarray, sequence: int = SEQUENCE, grain: int = GRAIN) ->
 
 
 def group_windows(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT, grains: int = GRAINS, grain: int = GRAIN) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
-    """(pieces of under a whole sequence and of whole ones, window of the former in order, number of windows); where pieces alike in size would leave much room, more of them are fine."""
+    """(pieces of under a whole sequence and of whole ones, window of the former in order, number of windows); where pieces alike in size would leave much room, more of them are fine, and of many sizes."""
+    some = 1
     while True:
-        pieces = group_cuts(lengths, sequence, cut, grains, grain)
+        pieces = group_cuts(lengths, sequence, cut, grains, grain, some)
         sizes = np.array([m for _, _, m in pieces if m < sequence], np.int64)
         if not len(sizes):
             return pieces, np.empty(0, np.int64), 0
@@ -166,6 +171,7 @@ def group_windows(lengths: list[int], sequence: int = SEQUENCE, cut: int = CUT,
         if k <= least + max(1, least // 100) or grains * grain >= sequence:
             return pieces, part, k
         grains *= 4
+        some = max(1, 2 * grain // 3)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"

@@ -153,6 +153,14 @@ def test_packing_by_differencing_leaves_little_padding(lengths, fill):
     assert len(used) == k and used.max() <= 2048 and used.sum() / (2048 * k) >= fill
 
 
+@pytest.mark.parametrize("length", [700, 1025])
+def test_equal_documents_of_a_group_leave_little_room(length):
+    pieces, part, k = packing.group_windows([length] * packing.DOCS_PER_GROUP)
+    sizes = np.array([n for _, _, n in pieces])
+    least = -(-length * packing.DOCS_PER_GROUP // 2048)
+    assert sizes.sum() == length * packing.DOCS_PER_GROUP and np.bincount(part, weights=sizes, minlength=k).max() <= 2048 and k <= least + least // 100
+
+
 def test_the_window_count_rises_until_all_fits():
     part, k = packing.windows(np.array([5, 5, 5, 5, 5]), 8, 1)
     assert k == 5 and sorted(part) == [0, 1, 2, 3, 4]  # 25 would fill 4 windows of 8, but no two pieces share one
