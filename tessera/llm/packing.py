@@ -87,6 +87,10 @@ class Encoder:
             return b"".join([self.part(p) for p in PARTS.findall(s.lower())])
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Workers outlive tasks, and other stages need the memory."""
+        self.words, self.parts = {}, {}
+
     def encode(self, text: bytes) -> bytes:
         words = text.split()
         try:
@@ -224,6 +228,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                     yield flush()
         if group:
             yield flush()
+        enc.forget()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 

@@ -161,6 +161,18 @@ def test_equal_documents_of_a_group_leave_little_room(length):
     assert sizes.sum() == length * packing.DOCS_PER_GROUP and np.bincount(part, weights=sizes, minlength=k).max() <= 2048 and k <= least + least // 100
 
 
+def test_packing_leaves_no_words_in_workers(spark):
+    import pyarrow as pa
+
+    def kept(batches):
+        n = sum(len(e.words) + len(e.parts) for e in packing._ENCODERS.values())
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    packing.pack(spark.createDataFrame([(i, prose(200)) for i in range(8)], "doc_id long, text string").repartition(4)).collect()
+    assert {r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_the_window_count_rises_until_all_fits():
     part, k = packing.windows(np.array([5, 5, 5, 5, 5]), 8, 1)
     assert k == 5 and sorted(part) == [0, 1, 2, 3, 4]  # 25 would fill 4 windows of 8, but no two pieces share one
